@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
+    "op6_best_fit_packing": packing.query,
     "op9_simhash": simhash.query,
 }
 

@@ -1,0 +1,73 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from latticework.llm import packing as op
+from latticework.llm import tokens
+
+from . import cases
+
+
+def test_ids_are_those_of_the_library():
+    path = tokens.default_path()
+    library, mine = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert mine.fast is not None
+    rng = random.Random(5)
+    odd = ["", " ", "  \n\t x", "it's we'll  DON'T", "　a b  \x0b\x0c\x85c\x1c", "<|endoftext|> a <|endoftext|>", "\U0001f600́é\x00﻿", "１２３ ½ Ⅷ", "a" * 5000, "日本語 текст عربى"]
+    odd += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(128, 0x3000), 32, 10])) for _ in range(60)) for _ in range(400)]
+    odd += [r[1] or "" for r in cases.rows()]
+    for text in odd:
+        assert mine(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_a_packing_near_the_bound(seed):
+    rng = random.Random(seed)
+    cap = rng.choice([16, 100, 2048])
+    counts = Counter(max(1, min(cap, int(rng.choice([rng.random() * cap, rng.expovariate(6 / cap)])))) for _ in range(rng.choice([1, 50, 5000])))
+    bins, seen = defaultdict(list), Counter()
+    for n, a, b, base, each, offset in op.plan(counts, cap):
+        for r in range(a, b):
+            bins[base + (r - a) // each].append((offset + n * ((r - a) % each), n))
+            seen[n, r] += 1
+    assert seen == Counter((n, r) for n, c in counts.items() for r in range(c))
+    for content in bins.values():
+        at = 0
+        for offset, n in sorted(content):
+            assert offset == at
+            at += n
+        assert at <= cap
+    large = sum(c for n, c in counts.items() if 2 * n > cap)
+    bound = max(large, -(-sum(n * c for n, c in counts.items()) // cap))
+    assert len(bins) <= 1.12 * bound + 1
+
+
+def test_whole_operator(spark):
+    data, capacity = cases.rows(), 64
+    library = Tokenizer.from_file(tokens.default_path())
+    want = Counter()
+    for r in data:
+        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        for i, (at, n) in enumerate(op.cut(len(ids), capacity)):
+            want[r[0], i, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
+            assert n == capacity or i == 0
+    got = op.pack(cases.table(spark).selectExpr("*", "1 as length", "2 as piece"), capacity=capacity).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for content in bins.values():
+        at = 0
+        for offset, n in sorted(content):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert len(bins) <= 1.05 * sum(r.length for r in got) / capacity + 1
+
+
+def test_empty(spark):
+    assert op.pack(cases.table(spark).limit(0)).count() == 0
