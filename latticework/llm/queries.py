@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, fingerprints, packing, simhash
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_best_fit_packing": packing.query,
     "op9_simhash": simhash.query,
