@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, packing, simhash
+from . import exact_dedup, fingerprints, packing, personal_data, simhash
 
 QUERIES = {
     "op3_fingerprints": fingerprints.query,
+    "op4_personal_data": personal_data.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_best_fit_packing": packing.query,
     "op9_simhash": simhash.query,
