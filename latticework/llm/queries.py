@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, packing, personal_data, simhash
+from . import exact_dedup, fingerprints, mixing, packing, personal_data, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op3_fingerprints": fingerprints.query,
     "op4_personal_data": personal_data.query,
     "op5_exact_dedup": exact_dedup.query,
