@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, packing, personal_data, simhash
+from . import exact_dedup, fingerprints, language, mixing, packing, personal_data, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_best_fit_packing": packing.query,
     "op9_simhash": simhash.query,
+    "op10_language_id": language.query,
+    "pages_language_id": language.query_pages,
 }
 
 SQL = {
