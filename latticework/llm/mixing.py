@@ -35,7 +35,7 @@ BLOCK_WORDS = 512
 #: Output positions of a shard.
 SHARD_SLOTS = 1024
 #: Documents whose positions one task sums up at a time, and slots one row is split into, on average.
-CHUNK = 4096
+CHUNK = 1024
 ROUNDS = 24
 
 
@@ -143,7 +143,8 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     """One row per document: doc_id, size, source_size, target (of its source), taken (words of it in the mix, repeats counted)."""
     cut, placed = pieces(materialize(sizes(docs), "sizes"), weights, share, block)
     at = placed.select(F.col("s").alias("p_s"), F.col("block").alias("p_block"), "takes")
-    found = cut.join(at, (F.col("s") == F.col("p_s")) & (F.col("block") == F.col("p_block")), "left")
+    # The planner takes exploded rows for few and would broadcast the slots, which grow with the input: they are merged.
+    found = cut.join(at.hint("merge"), (F.col("s") == F.col("p_s")) & (F.col("block") == F.col("p_block")), "left")
     words = F.when(F.col("takes").isNull(), F.lit(0)).otherwise(F.greatest(F.least("high", "takes") - F.col("low"), F.lit(0)))
     summed = found.groupBy("uid", "doc_id", "size", "source_size", "target").agg(F.sum(words).alias("taken"))
     return summed.select("doc_id", "size", "source_size", "target", "taken")
@@ -159,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = materialize(sizes(kept.withColumnRenamed("__row", "uid")), "sizes")
     cut, placed = pieces(rows, weights, share, block)
     at = placed.select(F.col("s").alias("p_s"), F.col("block").alias("p_block"), "pass", "takes", "position")
-    found = cut.filter("block is not null").join(at, (F.col("s") == F.col("p_s")) & (F.col("block") == F.col("p_block")))
+    found = cut.filter("block is not null").join(at.hint("merge"), (F.col("s") == F.col("p_s")) & (F.col("block") == F.col("p_block")))
     found = found.withColumn("words", F.least("high", "takes") - F.col("low")).filter("words > 0")
     # The runs of one document in one pass: as many as the document spans blocks.
     runs = found.groupBy(F.col("uid").alias("__uid"), F.col("pass").alias("__pass")).agg(
