@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import exact_dedup, fingerprints, language, mixing, packing, personal_data, simhash
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_language_id": language.query,
     "pages_language_id": language.query_pages,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
