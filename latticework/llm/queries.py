@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, fingerprints, language, mixing, packing, personal_data, simhash
+from . import class_lm, exact_dedup, fingerprints, language, mixing, packing, personal_data, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_personal_data": personal_data.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_best_fit_packing": packing.query,
+    "op7_class_lm": class_lm.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language.query,
     "pages_language_id": language.query_pages,
