@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, signed, slices, texts_of
+from .common import materialize, signed, slices, texts, texts_of
 
 #: Digests in a shard on average: what one task builds a hash for.
 SHARD_KEYS = 16_384
@@ -45,7 +45,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = [hashlib.sha256(t.lower()).digest() for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, digest binary")
 
 
 def _prefix(digest: Column, at: int, width: int) -> Column:

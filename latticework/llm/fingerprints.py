@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, slices, texts_of
+from .common import documents, shuffle_partitions, slices, texts, texts_of
 
 SHORTEST, NORMAL, LONGEST = 16, 64, 256
 #: Zero bits that end a chunk before and after the normal size.
@@ -192,7 +192,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tops = np.array([r["top"] for r in keys.agg(F.max("key").alias("top")).collect() if r["top"] is not None], np.int64)
     if not len(tops):
         return spark.createDataFrame([], OUT)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: _part(b, tops), "part int, ghost int, key long, tie long, doc_id long, blob binary")
+    dealt = texts(docs, id_col, text_col).mapInArrow(lambda b: _part(b, tops), "part int, ghost int, key long, tie long, doc_id long, blob binary")
     order = [F.col("part"), F.col("ghost"), F.col("key").desc(), F.col("tie")]
     return dealt.repartition(parts, "part").sortWithinPartitions(*order).mapInArrow(_walk, OUT)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, texts_of
+from .common import documents, materialize, slices, texts, texts_of
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, words) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def _blocks(n: int, bits: int) -> int:
