@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, texts_of
+from .common import documents, materialize, slices, texts, texts_of
+from .weak import reliabilities
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "validity", "gazetteer", "context", "edges")
@@ -177,7 +178,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append((doc, *(kinds.count(k) for k in range(4)), hashlib.sha256(spell(base).encode()).hexdigest(), *([list(x) for x in zip(*more, strict=True)] or [[]] * 5)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+    return texts(docs, id_col, text_col).mapInArrow(run, FOUND)
 
 
 def ballots(codes: np.ndarray) -> np.ndarray:
@@ -186,25 +187,6 @@ def ballots(codes: np.ndarray) -> np.ndarray:
     return np.stack([rest // 3 ** (len(LABELERS) - 1 - i) % 3 for i in range(len(LABELERS))], axis=1)
 
 
-def reliabilities(ballot: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
-    """EM for one kind: P(vote | class) per labeler as [labeler, class, vote], P(personal), and each pattern's posterior. Starts from the majority and keeps counts smoothed, so no labeler gets a zero."""
-    yes, no = (ballot == 2).sum(1), (ballot == 1).sum(1)
-    post = (yes + 0.5) / (yes + no + 1.0)
-    table, prior = np.zeros((ballot.shape[1], 2, 3)), 0.5
-    for _ in range(rounds):
-        prior = ((post * n).sum() + 1) / (n.sum() + 2)
-        for c, w in ((0, (1 - post) * n), (1, post * n)):
-            for v in range(3):
-                table[:, c, v] = ((ballot == v) * w[:, None]).sum(0) + 0.5
-        table /= table.sum(2, keepdims=True)
-        odd = np.log(prior / (1 - prior)) + sum(np.log(table[i, 1, ballot[:, i]] / table[i, 0, ballot[:, i]]) for i in range(ballot.shape[1]))
-        new = 1 / (1 + np.exp(-np.clip(odd, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            return table, prior, new
-        post = new
-    return table, prior, post
-
-
 def features(codes: np.ndarray) -> np.ndarray:
     """Votes one-hot, digits one-hot, separators one-hot, 1."""
     ballot = ballots(codes)
