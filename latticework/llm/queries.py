@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import class_lm, exact_dedup, fingerprints, language, mixing, packing, personal_data, simhash
+from . import class_lm, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_quality": quality.query,
     "op3_fingerprints": fingerprints.query,
     "op4_personal_data": personal_data.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_best_fit_packing": packing.query,
     "op7_class_lm": class_lm.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language.query,
     "pages_language_id": language.query_pages,
@@ -21,4 +23,5 @@ QUERIES = {
 
 SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
