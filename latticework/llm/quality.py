@@ -30,7 +30,7 @@ SCALE = 64.0
 HALF = 64
 #: Score from which a document is kept: high, as good documents are the most by far.
 KEEP = 0.9
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 SYMBOLS = b"*#$%&^~=<>{}[]\\@_"
 #: Function words of the four languages (fixed values).
