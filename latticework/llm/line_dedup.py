@@ -35,25 +35,33 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _templates(words: Column, n: Column) -> Column:
-    """Hashes of the templates a line stands under; null for those that don't count."""
-    constant = lambda some: F.size(F.filter(some, lambda w: w != VARIABLE)) >= LEAST_CONSTANT
-    keys = [F.when(constant(words), F.xxhash64(F.lit(-1), n, words))]
-    for i in range(SEGMENTS):
-        a = (F.lit(LEADING) + F.floor((n - LEADING) * i / SEGMENTS)).cast("int")
-        b = (F.lit(LEADING) + F.floor((n - LEADING) * (i + 1) / SEGMENTS)).cast("int")
-        rest = F.concat(F.slice(words, F.lit(1), a), F.slice(words, b + 1, n))
-        keys.append(F.when((n >= GENERAL_WORDS) & constant(rest), F.xxhash64(F.lit(i), n, rest)))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+def _templates(words: Column, masked: Column) -> Column:
+    """Hashes of the templates of one line. Its words are hashed once, by runs; templates are hashes of these. Only masked lines have variables to count."""
+    n = F.size(words)
+    edges = [F.lit(LEADING).cast("int"), *((F.lit(LEADING) + F.floor((n - LEADING) * i / SEGMENTS)).cast("int") for i in range(1, SEGMENTS)), n]
+    runs = [F.slice(words, F.lit(1), edges[0]), *(F.slice(words, a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False))]
+    hashes = F.array(*[F.xxhash64(r) for r in runs])
+    constant = F.when(masked, F.array(*[F.size(F.filter(r, lambda w: w != VARIABLE)) for r in runs]))
+
+    def keys(h: Column, c: Column) -> Column:
+        enough = lambda leave: c.isNull() | (sum((F.get(c, F.lit(j)) for j in range(1, SEGMENTS + 1) if j != leave), F.get(c, F.lit(0))) >= LEAST_CONSTANT)
+        hashed = lambda leave: F.xxhash64(F.lit(leave), n, *[F.get(h, F.lit(j)) for j in range(SEGMENTS + 1) if j != leave])
+        return F.array(F.when(enough(-1), hashed(-1)), *[F.when((n >= GENERAL_WORDS) & enough(j), hashed(j)) for j in range(1, SEGMENTS + 1)])
+
+    both = F.array(F.struct(hashes.alias("h"), constant.alias("c")))
+    found = F.flatten(F.transform(both, lambda x: keys(x["h"], x["c"])))
+    return F.when(n >= LEAST_WORDS, F.filter(found, lambda k: k.isNotNull())).otherwise(F.array().cast("array<bigint>"))
 
 
 def templates(docs: DataFrame) -> DataFrame:
     """(d, line, keys): each document's distinct lines as hashes, with their templates."""
     each = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("text"))
-    masked = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", FIELD, VARIABLE)).otherwise(F.col("text"))
-    parsed = each.select("d", F.xxhash64("text").alias("line"), F.regexp_extract_all(masked, F.lit(WORD), F.lit(0)).alias("words"))
-    sized = parsed.withColumn("n", F.size("words")).filter(F.col("n") >= LEAST_WORDS)
-    return sized.select("d", "line", _templates(F.col("words"), F.col("n")).alias("keys")).filter(F.size("keys") > 0)
+    each = each.filter(F.length("text") >= 2 * LEAST_WORDS - 1)
+    digits = F.col("text").rlike("[0-9]")
+    words = F.regexp_extract_all(F.when(digits, F.regexp_replace("text", FIELD, VARIABLE)).otherwise(F.col("text")), F.lit(WORD), F.lit(0))
+    # What is used several times is an element of an array of one, so that the planner can't copy it into each use.
+    once = F.array(F.struct(words.alias("w"), digits.alias("m")))
+    return each.select("d", F.xxhash64("text").alias("line"), F.flatten(F.transform(once, lambda x: _templates(x["w"], x["m"]))).alias("keys"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
