@@ -1,0 +1,41 @@
+"""Every registered query that has SQL, against DuckDB on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in os.listdir(FOLDER):
+        path = f"{FOLDER}/{name}"
+        connection.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    return connection
+
+
+def plain(rows):
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_sql(spark, duck, name):
+    got = entry.queries()[name](spark, FOLDER)
+    want = duck.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want.fetchall())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+
+
+def test_stream_query(spark):
+    got = entry.queries()["stream_guide"](spark, FOLDER)
+    assert got.count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
