@@ -35,7 +35,18 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/latticework/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once all that reads them is itself written. What a returned frame still reads stays, under the checkpoint folder, for the cluster's own clean-up."""
+    for df in frames:
+        if path := getattr(df, "_scratch_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, texts, texts_of
+from .common import documents, materialize, release, slices, texts, texts_of
 from .components import components
 
 SHINGLE_WORDS = 4
@@ -95,6 +95,7 @@ def labels(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     first = components(members.filter("fp <> hub").filter(_close("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     held = members.join(first, members["fp"] == first["node"], "left").select("t", "k", "fp", F.coalesce("root", "fp").alias("root"))
     held = materialize(held, "held")
+    release(members)
     per = held.groupBy("t", "k", "root").count()
     mixed = per.groupBy("t", "k").agg(F.max_by("root", F.struct("count", "root")).alias("commonest"), F.count("*").alias("n")).filter("n > 1").select("t", "k", "commonest")
     open_ = materialize(held.join(mixed, ["t", "k"]), "open")
@@ -102,7 +103,9 @@ def labels(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     right = open_.select(F.col("t").alias("r_t"), F.col("k").alias("r_k"), F.col("fp").alias("r_fp"), F.col("root").alias("r_root"))
     near = (F.col("t") == F.col("r_t")) & (F.col("k") == F.col("r_k")) & (F.col("l_root") != F.col("r_root")) & _close("l_fp", "r_fp", bits)
     more = left.join(right.hint("merge"), near).select(F.least("l_root", "r_root").alias("a"), F.greatest("l_root", "r_root").alias("b")).distinct()
-    second = components(more).select(F.col("node").alias("s_node"), F.col("root").alias("s_root"))
+    linked = components(more)
+    release(open_)
+    second = linked.select(F.col("node").alias("s_node"), F.col("root").alias("s_root"))
     nodes = held.select("fp", "root").distinct()
     both = nodes.join(second, nodes["root"] == second["s_node"], "left").select(F.col("fp").alias("node"), F.coalesce("s_root", "root").alias("root"))
     return both.filter("node <> root")
