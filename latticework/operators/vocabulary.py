@@ -56,9 +56,9 @@ class Vocabulary:
         return [(bytearray(as_bytes(t)), i) for t, ids in tokens.items() for i in ids]
 
     @classmethod
-    def from_pretrained(cls, folder: str, spark: SparkSession | None = None) -> Vocabulary:
-        """From a folder with ``tokenizer.json`` and its configuration files."""
-        eos, rows = tokenizer_files.load(folder)
+    def from_pretrained(cls, model: str, revision: str | None = None, token: str | None = None, root: str | None = None, spark: SparkSession | None = None) -> Vocabulary:
+        """From a folder with ``tokenizer.json`` and its configuration files, or a model's name under ``root``. Nothing is fetched, so ``token`` is not used."""
+        eos, rows = tokenizer_files.load(tokenizer_files.find_folder(model, revision, root))
         spark = spark or SparkSession.builder.getOrCreate()
         return cls(eos, spark.createDataFrame([(bytearray(t), i) for t, i in rows], SCHEMA))
 

@@ -94,6 +94,24 @@ class TokenProcessor:
         return token.replace(self.space, " ").encode()
 
 
+def find_folder(model: str, revision: str | None = None, root: str | None = None) -> str:
+    """The folder of a model: a path as it is, or a name under ``root``, in a folder of that name or in a snapshot cache (``models--owner--name/snapshots/<revision>``)."""
+    if os.path.isdir(model):
+        return model
+    validate(model)
+    revision = validate(revision or "main")
+    cache = os.path.join(root or ".", "models--" + model.replace("/", "--"))
+    try:
+        with open(os.path.join(cache, "refs", revision), encoding="utf-8") as f:
+            commit = f.read().strip()
+    except OSError:
+        commit = revision
+    for folder in (os.path.join(root or ".", model), os.path.join(cache, "snapshots", commit)):
+        if os.path.isdir(folder):
+            return folder
+    raise errors.TokenizersError(f"no folder for {model} (revision {revision}) under {root or 'the working folder'}; files are not fetched")
+
+
 def read_json(folder: str, name: str) -> Any:
     """A JSON file of the folder, or None."""
     try:

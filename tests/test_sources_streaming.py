@@ -79,7 +79,7 @@ BYTE_LEVEL = {
 
 
 def test_a_folder(spark, tmp_path):
-    vocabulary = Vocabulary.from_pretrained(folder(tmp_path, BYTE_LEVEL, tokenizer_config={"eos_token": "</s>"}), spark)
+    vocabulary = Vocabulary.from_pretrained(folder(tmp_path, BYTE_LEVEL, tokenizer_config={"eos_token": "</s>"}), spark=spark)
     assert vocabulary.get_eos_token_id() == 2
     assert vocabulary.get(" b") == [1] and vocabulary.get(b"\xff") == [3] and vocabulary.get("Ġplain") == [7]
     assert len(vocabulary) == 5
@@ -104,6 +104,18 @@ def test_where_the_end_token_is_named(tmp_path, configs, eos):
         assert files.load(where)[0] == eos
 
 
+def test_names_under_a_root(tmp_path):
+    snapshot = tmp_path / "models--org--m" / "snapshots" / "abc"
+    snapshot.mkdir(parents=True)
+    (tmp_path / "models--org--m" / "refs").mkdir()
+    (tmp_path / "models--org--m" / "refs" / "main").write_text("abc")
+    assert files.find_folder("org/m", root=str(tmp_path)) == files.find_folder("org/m", "abc", str(tmp_path)) == str(snapshot)
+    with pytest.raises(errors.TokenizersError):
+        files.find_folder("org/other", root=str(tmp_path))
+    with pytest.raises(errors.TokenizersError):
+        files.find_folder("org/m", "a b", str(tmp_path))
+
+
 def test_names_and_normalizers(tmp_path):
     assert files.validate("org/model-1.0_x") == "org/model-1.0_x"
     for bad in ("a b", "a$", "a:b"):
