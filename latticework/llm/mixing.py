@@ -39,14 +39,14 @@ CHUNK = 1024
 ROUNDS = 24
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, s, size, uid): s orders as the sources do, null last."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, s, size, uid): s orders as the sources do, null last; uid numbers the rows, or is what ``row_col`` holds."""
     source = F.col(source_col).cast("string")
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.when(source.isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), source)).alias("s"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *([F.col("uid")] if "uid" in docs.columns else [F.monotonically_increasing_id().alias("uid")]),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("uid"),
     )
 
 
@@ -157,7 +157,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     is one, follows the text. The rows go out in the order of the output shards only within a partition.
     """
     kept = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mixed-rows")
-    rows = materialize(sizes(kept.withColumnRenamed("__row", "uid")), "sizes")
+    rows = materialize(sizes(kept, row_col="__row"), "sizes")
     cut, placed = pieces(rows, weights, share, block)
     at = placed.select(F.col("s").alias("p_s"), F.col("block").alias("p_block"), "pass", "takes", "position")
     found = cut.filter("block is not null").join(at.hint("merge"), (F.col("s") == F.col("p_s")) & (F.col("block") == F.col("p_block")))

@@ -50,7 +50,7 @@ def test_networks_are_permutations(spark, n):
 @pytest.mark.parametrize("block", [1, 8, 64, 512])
 def test_taken(spark, block):
     data = cases.rows(n=200)
-    docs = cases.table(spark, n=200).selectExpr("*", "1 as size", "'x' as s", "0 as block")
+    docs = cases.table(spark, n=200).selectExpr("*", "1 as size", "'x' as s", "0 as block", "7 as uid", "1 as pass")
     got = op.taken(docs, block=block).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], size(r[1])) for r in data)
     sums = defaultdict(int)
@@ -84,7 +84,7 @@ def test_shards_get_every_slot_once_and_mixed_sources(spark):
 
 
 def test_mix_holds_the_words_taken(spark):
-    docs = cases.table(spark, n=100)
+    docs = cases.table(spark, n=100).selectExpr("*", "7 as uid", "1 as pass", "2 as skip", "3 as size", "'x' as s")
     got = op.mix(docs, block=16)
     assert got.columns == docs.columns
     per = defaultdict(int)

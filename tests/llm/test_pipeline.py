@@ -69,3 +69,26 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+CLASHING = "uid keep_id group_size kept digest winner shard slot fp component_id root node k t hub gone_id gone_key key declared accepted words lines line length piece sequence_id chunk rank s size block d c n g_id t_id count pass skip shares code".split()
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = cases.table(spark).selectExpr("*", *[f"1 as {c}" for c in CLASHING])
+    plain = cases.table(spark)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got, want = stage(spark, docs, ""), stage(spark, plain, "")
+        assert got.columns == docs.columns
+        assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_queries_take_extra_columns(spark, tmp_path):
+    from latticework.llm.queries import QUERIES
+
+    cases.table(spark).selectExpr("*", *[f"1 as {c}" for c in CLASHING]).write.parquet(str(tmp_path / "extra" / "documents.parquet"))
+    cases.table(spark).write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    for name, query in QUERIES.items():
+        if name.startswith("op"):
+            got, want = (query(spark, str(tmp_path / kind)) for kind in ("extra", "plain"))
+            assert got.columns == want.columns and got.count() == want.count(), name
