@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import masks as M
 from .functions import patterns as P
 from .functions import tokens as T
-from .operators.guide import follow, rolled_back
+from .operators.guide import follow, follow_long, rolled_back
 from .operators.index import Index, accepts, walk
 from .operators.vocabulary import Vocabulary
 from .plans.automaton import START, compile_pattern
@@ -322,6 +322,20 @@ rollback_query("guide_rollback", "s?(ua)*u?", 2)
 rollback_query("guide_rollback_narrow", "(ua)+", 1)
 
 
+KINDS = {"click": (1, "c"), "view": (2, "v"), "purchase": (3, "p"), "error": (4, "e"), "signup": (5, "s")}
+SESSIONS = "([^p]|p[^e])*p?"
+SESSION_AUTOMATON = compile_pattern(SESSIONS)
+_LETTER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, (_, c) in KINDS.items()) + " ELSE 'x' END"
+
+
+@query("guide_long_sequences", f"SELECT user_id, n AS n_tokens, CASE WHEN ({_flags(SESSION_AUTOMATON.useful)})[s + 1] THEN s ELSE 0 END::INT AS state, s <> 0 AND ({_flags(SESSION_AUTOMATON.useful)})[s + 1] AS accepted, ({_flags(SESSION_AUTOMATON.final)})[s + 1] AND ({_flags(SESSION_AUTOMATON.useful)})[s + 1] AS finished FROM (SELECT user_id, n, {sql_walk(SESSION_AUTOMATON, 'w', str(START))} AS s FROM (SELECT user_id, count(*) AS n, string_agg({_LETTER}, '' ORDER BY event_id) AS w FROM events GROUP BY 1))")
+def guide_long_sequences(spark, sf_dir):
+    vocab = Vocabulary(9, {c: [i] for i, c in KINDS.values()} | {"x": [99]}, spark)
+    number = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(i)) for k, (i, _) in KINDS.items()], F.lit(99)).cast("long")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", number.alias("token_id"))
+    return follow_long(rows, Index(SESSIONS, vocab), vocab, "user_id", "event_id")
+
+
 # Masks
 
 
