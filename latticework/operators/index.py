@@ -150,6 +150,11 @@ class Index:
         copy.__dict__.update(self.__dict__)  # frames and tables never change
         return copy
 
+    def __reduce__(self) -> tuple:
+        """Pickles by value; :meth:`save` is the way for what doesn't fit one machine."""
+        scalars = {"regex": self.regex, "eos_token_id": self.eos_token_id, "vocab_size": self.vocab_size, "finals": self.finals}
+        return _unpickled, (scalars, [tuple(r) for r in self.edges.collect()], [tuple(r) for r in self.states.collect()])
+
     def describe(self) -> str:
         lines = [f"{s} -> {self._table[s]}" for s in sorted(self._table)]
         return "\n".join([f"Index with initial state {START}, final states {self.finals}, transitions:", *lines])
@@ -170,8 +175,17 @@ class Index:
         from ..sources.saved import read
 
         scalars, frames = read(path, "index", spark, "edges", "states")
+        return cls._of(scalars, frames["edges"], frames["states"])
+
+    @classmethod
+    def _of(cls, scalars: dict, edges: DataFrame, states: DataFrame) -> Index:
         index = object.__new__(cls)
         index.regex, index.eos_token_id, index._size, index.finals = (scalars[k] for k in ("regex", "eos_token_id", "vocab_size", "finals"))
-        index.edges, index.states = frames["edges"], frames["states"]
+        index.edges, index.states = edges, states
         index.automaton, index._vocabulary = compile_pattern(index.regex), None
         return index
+
+
+def _unpickled(scalars: dict, edges: list[tuple], states: list[tuple]) -> Index:
+    spark = SparkSession.builder.getOrCreate()
+    return Index._of(scalars, spark.createDataFrame(edges, EDGES), spark.createDataFrame(states, "state int, is_final boolean"))

@@ -141,6 +141,10 @@ class Vocabulary:
     def __deepcopy__(self, memo: dict) -> Vocabulary:
         return self.__copy__()  # frames never change
 
+    def __reduce__(self) -> tuple:
+        """Pickles by value; :meth:`save` is the way for what doesn't fit one machine."""
+        return _unpickled, (self.eos_token_id, [(bytes(r["token"]), r["token_id"]) for r in self.frame.collect()])
+
     def describe(self) -> str:
         lines = []
         for r in self.tokens().orderBy("token").collect():
@@ -164,3 +168,8 @@ class Vocabulary:
 
         scalars, frames = read(path, "vocabulary", spark, "tokens")
         return cls(scalars["eos_token_id"], frames["tokens"])
+
+
+def _unpickled(eos_token_id: int, rows: list[tuple[bytes, int]]) -> Vocabulary:
+    spark = SparkSession.builder.getOrCreate()
+    return Vocabulary(eos_token_id, spark.createDataFrame([(bytearray(t), i) for t, i in rows], SCHEMA))

@@ -392,7 +392,9 @@ def stream_guide(spark, sf_dir):
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", parts[1]).parquet(parts[0])
     rows = events.select("user_id", "event_id", number.alias("token_id"))
     name = f"guides_{uuid.uuid4().hex}"
-    running = guide_stream(rows, index, vocab, "user_id", "event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    writer = guide_stream(rows, index, vocab, "user_id", "event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    running = (writer.option("checkpointLocation", f"{shared}/{name}") if shared else writer).start()
     running.awaitTermination()
     return spark.table(name).select(F.col("key").alias("user_id"), F.col("at").alias("event_id"), "token_id", "state", "accepted", "finished", "stored")
 
