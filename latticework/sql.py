@@ -7,10 +7,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans.schema_regex import regex_from_str
+from .workers import importable
 
 
 def register(spark: SparkSession) -> None:
     """``schema_regex(json)``: a schema's pattern, null if it has none. Schemas are few and compiled once each."""
+    importable(spark)
 
     @F.pandas_udf("string")
     def schema_regex(schemas: pd.Series) -> pd.Series:

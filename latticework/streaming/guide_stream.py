@@ -14,14 +14,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.guide import MAX_ROLLBACK
 from ..operators.index import Index
-from ..plans.automaton import DEAD, START
 from ..operators.vocabulary import Vocabulary
+from ..plans.automaton import DEAD, START
+from ..workers import importable
 
 STATE = "state int, before array<int>"
 
 
 def guide_stream(rows: DataFrame, index: Index, vocabulary: Vocabulary, key: str, order: str, token: str = "token_id", max_rollback: int = MAX_ROLLBACK) -> DataFrame:
     """(key, order, token_id, state, accepted, finished, stored) for every row of the stream. The vocabulary is looked up by a stream-static join."""
+    importable(rows.sparkSession)
     automaton, eos = index.automaton, vocabulary.eos_token_id
     static = vocabulary.frame.groupBy("token_id").agg({"token": "min"}).toDF("__id", "__token")
     joined = rows.join(static, rows[token] == static["__id"], "left").select(rows[key].alias("key"), rows[order].alias("at"), rows[token].alias("token_id"), "__token")
