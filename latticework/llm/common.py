@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import importable
+
 #: Runs of anything but space and the five ASCII control characters that are white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,9 +32,18 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_scratch
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here, and a lost executor costs a reread."""
+#: Rows of a narrow table that one task writes, and the fewest tasks that write one.
+FILE_ROWS, LEAST_FILES = 200_000, 8
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd", most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends here, and a lost executor costs a reread.
+
+    Where ``most_rows`` bounds a narrow table's rows, no more tasks write it than they need, so that small tables don't become hundreds of files.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-most_rows // FILE_ROWS)))
     path = f"{scratch_root(spark)}/latticework/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -50,6 +61,7 @@ def release(*frames: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -62,19 +74,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: Bytes of an Arrow batch of texts. Spark buffers a batch several times over outside the heap, so its own 64 MB is too much for small executors.
-BATCH_BYTES = 8 << 20
+#: Session settings for rows that hold whole texts, and the most they may be. Spark buffers an Arrow batch several times over outside the heap, and a reader's batch of long texts is one huge array:
+#: with 64 MB and 4096 rows, the defaults, both are too much for small executors.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's ``maxBytesPerBatch`` where it is above BATCH_BYTES."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        now = int(spark.conf.get(name).rstrip("b"))
-    except Exception:  # a Spark that has no such setting, or one written in other units by the user
-        return
-    if now > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    """Lowers the session's batch sizes to those of SETTINGS where they are above, and lets its Python workers find this package."""
+    importable(spark)
+    for name, most in SETTINGS.items():
+        try:
+            now = int(spark.conf.get(name).rstrip("b"))
+        except Exception:  # a Spark that has no such setting, or one written in other units by the user
+            continue
+        if now > most:
+            spark.conf.set(name, str(most))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,12 +18,12 @@ def _stars(links: DataFrame) -> DataFrame:
     return small.filter("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b) that isn't its component's least node. Ends when the star forest no longer changes; only a count and a checksum reach the driver."""
-    now = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+def components(links: DataFrame, most_links: int | None = None) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b) that isn't its component's least node. Ends when the star forest no longer changes; only a count and a checksum reach the driver. ``most_links`` is a bound of their number, if there is one."""
+    now = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", most_rows=most_links)
     state = _state(now)
     while state[0]:
-        before, now = now, materialize(_stars(now), "stars")
+        before, now = now, materialize(_stars(now), "stars", most_rows=2 * state[0])
         release(before)
         after = _state(now)
         if after == state:

@@ -113,9 +113,10 @@ def distinct_digests(rows: DataFrame) -> DataFrame:
 
 def build_index(history: DataFrame) -> tuple[DataFrame, int]:
     """The minimal perfect hash of ``history`` (digest, winner, winner_uid, group_size; digests distinct), as one table of seed rows and slot rows, and its number of shards."""
-    shards = max(1, -(-history.count() // SHARD_KEYS))
+    n = history.count()
+    shards = max(1, -(-n // SHARD_KEYS))
     built = history.withColumn("shard", _shard(F.col("digest"), shards)).groupBy("shard").applyInArrow(_build, INDEX)
-    return materialize(built, "mph"), shards
+    return materialize(built, "mph", most_rows=2 * n), shards
 
 
 def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
@@ -153,9 +154,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Dropped (doc_id, digest) keys leave by an anti-join; rows that repeat doc_id *and* text, few if any, are then made one.
     """
-    seen = materialize(verdicts(docs, id_col, text_col), "verdicts")
+    n = docs.count()
+    seen = materialize(verdicts(docs, id_col, text_col), "verdicts", most_rows=n)
     lost = seen.groupBy("doc_id", "digest").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
-    lost = materialize(lost.filter("n > 1 or not any_kept"), "lost")
+    lost = materialize(lost.filter("n > 1 or not any_kept"), "lost", most_rows=n)
     gone = lost.filter("not any_kept").select(F.col("doc_id").alias("g_id")).distinct()
     twice = lost.filter("any_kept").select(F.col("doc_id").alias("t_id")).distinct()
     if lost.filter("n > 1").isEmpty() and not _ids_repeat(seen):

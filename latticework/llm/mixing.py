@@ -123,10 +123,11 @@ def pieces(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     The first is (uid, doc_id, size, source_size, target, s, block, low, high, skip): words low..high-1 of the block are the document's words from ``skip`` on; a
     document without words has one row with null block.
     """
-    chunks = max(1, rows.count() // CHUNK)
+    n = rows.count()
+    chunks = max(1, n // CHUNK)
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
-    sums = materialize(dealt.groupBy("s", "chunk").agg(F.sum("size").alias("words")), "chunks")
-    sources = materialize(targets(sums.groupBy("s").agg(F.sum("words").alias("source_size")), weights, share), "targets")
+    sums = materialize(dealt.groupBy("s", "chunk").agg(F.sum("size").alias("words")), "chunks", most_rows=n)
+    sources = materialize(targets(sums.groupBy("s").agg(F.sum("words").alias("source_size")), weights, share), "targets", most_rows=n)
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("s", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")).join(sources, "s")
     within = Window.partitionBy("s", "chunk").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)

@@ -87,23 +87,25 @@ def _close(a: str, b: str, bits: int):
 
 def labels(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     """(node, root): the component of each of the distinct fingerprints ``fp`` that isn't its component's least."""
-    masks = _masks(_blocks(distinct.count(), bits), bits)
+    n = distinct.count()
+    masks = _masks(_blocks(n, bits), bits)
+    most = n * len(masks)
     table = F.posexplode(F.array(*[F.lit(x) for x in masks]))
     keyed = distinct.select("fp", table.alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
     shared = keyed.groupBy("t", "k").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(keyed.join(shared, ["t", "k"]).select("t", "k", "fp", "hub"), "blocks")
-    first = components(members.filter("fp <> hub").filter(_close("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    members = materialize(keyed.join(shared, ["t", "k"]).select("t", "k", "fp", "hub"), "blocks", most_rows=most)
+    first = components(members.filter("fp <> hub").filter(_close("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b")), most)
     held = members.join(first, members["fp"] == first["node"], "left").select("t", "k", "fp", F.coalesce("root", "fp").alias("root"))
-    held = materialize(held, "held")
+    held = materialize(held, "held", most_rows=most)
     release(members)
     per = held.groupBy("t", "k", "root").count()
     mixed = per.groupBy("t", "k").agg(F.max_by("root", F.struct("count", "root")).alias("commonest"), F.count("*").alias("n")).filter("n > 1").select("t", "k", "commonest")
-    open_ = materialize(held.join(mixed, ["t", "k"]), "open")
+    open_ = materialize(held.join(mixed, ["t", "k"]), "open", most_rows=most)
     left = open_.filter("root <> commonest").select("t", "k", F.col("fp").alias("l_fp"), F.col("root").alias("l_root"))
     right = open_.select(F.col("t").alias("r_t"), F.col("k").alias("r_k"), F.col("fp").alias("r_fp"), F.col("root").alias("r_root"))
     near = (F.col("t") == F.col("r_t")) & (F.col("k") == F.col("r_k")) & (F.col("l_root") != F.col("r_root")) & _close("l_fp", "r_fp", bits)
     more = left.join(right.hint("merge"), near).select(F.least("l_root", "r_root").alias("a"), F.greatest("l_root", "r_root").alias("b")).distinct()
-    linked = components(more)
+    linked = components(more, most)
     release(open_)
     second = linked.select(F.col("node").alias("s_node"), F.col("root").alias("s_root"))
     nodes = held.select("fp", "root").distinct()
@@ -116,7 +118,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = labels(distinct.select("fp"), bits)
-    named = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "roots", most_rows=rows.count())
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id")
     return rows.join(of, rows["fp"] == of["c_fp"]).select("doc_id", "fp", "component_id")
@@ -125,7 +128,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MOST_BITS, words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with the least doc_id of each component only. Rows that share that doc_id (repeated rows) all stay: see exact dedup."""
     found = groups(docs, id_col, text_col, bits, words)
-    gone = materialize(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")), "near")
+    gone = materialize(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")), "near", most_rows=docs.count())
     return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
 
 
