@@ -32,11 +32,12 @@ def as_bytes(token: str | bytes) -> bytes:
 
 
 class Vocabulary:
-    def __init__(self, eos_token_id: int, tokens: dict | DataFrame | None = None, spark: SparkSession | None = None):
+    def __init__(self, eos_token_id: int, tokens: dict | DataFrame | None = None, spark: SparkSession | None = None, checked: bool = False):
+        """``checked`` says that a DataFrame is known not to hold the end's id, which saves a job over it."""
         self.eos_token_id = token_id(eos_token_id)
         if isinstance(tokens, DataFrame):
             self.frame = tokens.select(F.col("token").cast("binary").alias("token"), F.col("token_id").cast("long").alias("token_id"))
-            if not self.frame.filter(F.col("token_id") == self.eos_token_id).isEmpty():
+            if not checked and not self.frame.filter(F.col("token_id") == self.eos_token_id).isEmpty():
                 raise errors.EOSTokenDisallowed()
             return
         rows = self._rows({} if tokens is None else tokens)
@@ -70,7 +71,7 @@ class Vocabulary:
         frame = kept.select(data.alias("token"), "token_id")
         if not frame.filter("token is null").isEmpty():
             raise errors.ByteProcessorFailed() if level == "byte" else errors.ByteFallbackProcessorFailed()
-        return cls(eos_token_id, frame)
+        return cls(eos_token_id, frame, checked=True)
 
     # Reading
 
@@ -167,7 +168,7 @@ class Vocabulary:
         from ..sources.saved import read
 
         scalars, frames = read(path, "vocabulary", spark, "tokens")
-        return cls(scalars["eos_token_id"], frames["tokens"])
+        return cls(scalars["eos_token_id"], frames["tokens"], checked=True)
 
 
 def _unpickled(eos_token_id: int, rows: list[tuple[bytes, int]]) -> Vocabulary:

@@ -119,7 +119,7 @@ NO_ID = 1 << 31
 
 
 def vocabulary(spark, sf_dir) -> Vocabulary:
-    return Vocabulary(NO_ID, word_vocabulary(spark, sf_dir).select(F.encode("word", "UTF-8").alias("token"), "token_id"))
+    return Vocabulary(NO_ID, word_vocabulary(spark, sf_dir).select(F.encode("word", "UTF-8").alias("token"), "token_id"), checked=True)  # ids have 28 bits
 
 
 @query("vocab_build", f"SELECT word, {ID} AS token_id FROM ({WORDS})")
@@ -142,7 +142,7 @@ def part_vocabulary(spark, sf_dir) -> Vocabulary:
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     both = words.select(F.explode(F.array("word", F.concat(F.lit(" "), "word"))).alias("word"))
     numbered = both.select("word", F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("long").alias("token_id"))
-    return Vocabulary(NO_ID, numbered.select(F.encode("word", "UTF-8").alias("token"), "token_id"))
+    return Vocabulary(NO_ID, numbered.select(F.encode("word", "UTF-8").alias("token"), "token_id"), checked=True)
 
 
 SHORT_ID = "('0x' || substring(md5(word), 1, 4))::BIGINT"
