@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import IndexDfaError
+from ..plans.regex_syntax import parse
+
 # The patterns that compiled schemas are made of.
 STRING_INNER = r'([^"\\\x00-\x1F\x7F-\x9F]|\\["\\/bfnrt])'
 STRING = r'"([^"\\\x00-\x1F\x7F-\x9F]|\\["\\/bfnrt])*"'
@@ -39,7 +42,27 @@ def java_form(pattern: str) -> str:
     return pattern.replace(STRING, r'"(?:[^"\\\x00-\x1F\x7F-\x9F]++|\\["\\/bfnrt])*+"')
 
 
+def literal_prefix(pattern: str) -> str:
+    """The characters that every match starts with, as far as they are plain to see."""
+    try:
+        node = parse(pattern)
+    except (IndexDfaError, RecursionError):
+        return ""
+    out, todo = "", [node]
+    while todo:
+        node = todo.pop()
+        if node[0] == "cat":
+            todo += reversed(node[1])
+        elif node[0] == "set" and len(node[1]) == 1 and node[1][0][0] == node[1][0][1]:
+            out += chr(node[1][0][0])
+        else:
+            break
+    return out
+
+
 def fullmatch(column: Column | str, pattern: str) -> Column:
-    """Whether the whole string matches; no line end is forgiven."""
+    """Whether the whole string matches; no line end is forgiven. A literal prefix is tested on its own first, which readers can use to skip row groups."""
     column = F.col(column) if isinstance(column, str) else column
-    return column.rlike(rf"\A(?:{java_form(pattern)})\z")
+    matches = column.rlike(rf"\A(?:{java_form(pattern)})\z")
+    prefix = literal_prefix(pattern)
+    return column.startswith(prefix) & matches if prefix else matches

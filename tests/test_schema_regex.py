@@ -195,3 +195,17 @@ def test_escape():
     assert P.escape("a b.c") == r"a b\.c"
     for c in map(chr, range(32, 127)):
         assert re.fullmatch(P.escape(c), c)
+
+
+@pytest.mark.parametrize("pattern, prefix", [(r"\{[ ]?a", "{"), ("abc", "abc"), ("ab?c", "a"), ("a|b", ""), ("(?:ab)c[de]", "abc"), ("[a]b", "ab"), ("(?i:a)b", ""), ("", ""), ("(?=x)", ""), ("ab{2}", "a")])
+def test_literal_prefix(pattern, prefix):
+    assert P.literal_prefix(pattern) == prefix
+
+
+def test_fullmatch_pushes_its_prefix_to_the_reader(spark, tmp_path, capsys):
+    frame = spark.createDataFrame([("key=1",), ("key=x",), ("no",), (None,), ("key=1\n",)], "v string")
+    frame.write.parquet(str(tmp_path / "t"))
+    found = spark.read.parquet(str(tmp_path / "t")).filter(P.fullmatch("v", "key=[0-9]+"))
+    assert [r.v for r in found.collect()] == ["key=1"]
+    found.explain("formatted")
+    assert "StringStartsWith(v,key=)" in capsys.readouterr().out
