@@ -126,10 +126,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MOST_BITS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with the least doc_id of each component only. Rows that share that doc_id (repeated rows) all stay: see exact dedup."""
+    """``docs`` with the least doc_id of each component only. A row goes by its doc_id and fingerprint, so other texts under the same (or no) doc_id stay. Rows that share the least doc_id (repeated rows) all stay: see exact dedup."""
     found = groups(docs, id_col, text_col, bits, words)
-    gone = materialize(found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")), "near", most_rows=docs.count())
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
+    gone = found.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), "fp").distinct()
+    # Fingerprints by text, whose hash is also at hand where the rows are dropped.
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    by_text = fingerprints(docs.select(key.alias("doc_id"), docs[text_col].alias("text")), words=words).distinct().select(F.col("doc_id").alias("gone_key"), F.col("fp").alias("t_fp"))
+    gone = materialize(gone.join(by_text, F.col("fp") == F.col("t_fp")).select("gone_id", "gone_key"), "near")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (key == gone["gone_key"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -86,3 +86,11 @@ def test_deduplicate_keeps_the_least_of_each_group(spark):
     text = cases.sentence(random.Random(1), 300)
     docs = spark.createDataFrame([(3, text), (1, text + " x"), (2, "something else entirely"), (9, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in op.deduplicate(docs).collect()) == [1, 2, 9]
+
+
+def test_deduplicate_keeps_other_texts_of_the_same_or_no_id(spark):
+    rng = random.Random(2)
+    text, *alone = (cases.sentence(rng, 300) for _ in range(5))
+    rows = [(1, text), (None, text + " x"), (None, alone[0]), (None, alone[1]), (7, text + " y"), (7, alone[2]), (7, alone[3])]
+    got = op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3], rows[5], rows[6]], key=str)
