@@ -2,14 +2,18 @@
 
 Four kinds of evidence meet in one posterior per document:
 
-* the text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of rows with a declared language,
+* the text: a naive Bayes model over hashed byte trigrams, fitted on all rows of each declared language or a bounded sample of them,
 * the declared language (the ``lang`` attribute of markup, or a column): how often each declaration goes with each language,
 * the address suffix (``de`` of ``example.de``): the same for suffixes,
 * the host: a prior that is smoothed from the whole corpus to the domain to the host.
 
 The last three are counts of text-only posteriors over all documents by grouped aggregation, joined back on their keys, and each
-document's own share is taken out before they are applied to it. A document is accepted if its text is likelier under
-its language than under no language at all and the fused posterior reaches ``LEAST``.
+document's own share is taken out before they are applied to it. A document is accepted if its text is not much unlikelier under
+every language than under none and the fused posterior reaches ``LEAST``. Only languages with ``LEAST_TRIGRAMS`` of training text
+speak in that test: of others the table is mostly smoothing, under which any text is as likely as under none. A text that declares
+one of those, or any where there is no other, needs letters alone.
+
+Every declared language is one of those told apart; the model and the posteriors grow with their number.
 
 Defined cases: null or empty text has no text evidence and is not accepted; null declaration, address or host
 contribute nothing; ties go to the commoner language, then the lesser name; rows that repeat are judged each; without any
@@ -29,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, slices, small_batches, texts_of
 
 BITS = 14
-#: Rows with a declared language that the text model is fitted on, about; the rest of the table plays no part in that fit.
+#: Rows of each declared language that the text model is fitted on: all up to this many, about as many of a commoner one.
 SAMPLE_ROWS = 20_000
-#: Languages that are told apart: the commonest declared ones.
-MOST_LANGUAGES = 128
+#: Fewest letter trigrams in training of a language whose model can tell that a text is like no language: unseen trigrams must lie well below NEUTRAL - SLACK.
+LEAST_TRIGRAMS = 10_000
 #: Trigrams overlap and are no independent evidence; their log-likelihood is scaled by this.
 TEMPER = 0.2
 #: Weight, in documents, of a level's parent.
@@ -72,19 +76,21 @@ def evidence(docs: DataFrame, text: Column, declared: Column | None = None, addr
     return frame.withColumn("domain", F.when(dotted, F.substring_index("host", ".", -2)).otherwise(F.col("host"))).withColumn("suffix", F.when(dotted, F.substring_index("host", ".", -1)))
 
 
-def fit(frame: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """The languages and log P(trigram | language). Only counts, at most MOST_LANGUAGES x 2^BITS, reach the driver."""
-    known = frame.filter("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
+def fit(frame: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The languages, log P(trigram | language), and which languages have LEAST_TRIGRAMS. Only counts, at most 2^BITS a language, reach the driver."""
+    known = frame.filter("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()
     names = [r["declared"] for r in known]
-    share = min(1.0, sample_rows / max(1, sum(r["count"] for r in known)))
-    sample = frame.filter(F.col("declared").isin(names)).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if names else frame.limit(0)
+    number = {x: i for i, x in enumerate(names)}
+    rest = [F.lit(x) for r in known if r["count"] > sample_rows for x in (r["declared"], int(sample_rows / r["count"] * (1 << 20)))]
+    below = F.coalesce(F.try_element_at(F.create_map(*rest), F.col("declared")), F.lit(1 << 20)) if rest else F.lit(1 << 20)
+    sample = frame.filter("declared is not null and declared <> ''").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
         for batch in slices(batches, "text", AT_ONCE):
             code, starts = codes(texts_of(batch.column("text")))
             owner = np.searchsorted(starts, np.arange(len(code)), side="right") - 1
-            named = np.array([names.index(x) for x in batch.column("declared").to_pylist()], np.int64)[owner]
+            named = np.array([number[x] for x in batch.column("declared").to_pylist()], np.int64)[owner]
             both, n = np.unique(named << BITS | code, return_counts=True)
             for k, v in zip(both.tolist(), n.tolist(), strict=True):
                 sums[k] = sums.get(k, 0) + v
@@ -95,14 +101,16 @@ def fit(frame: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np
         for r in sample.select("text", "declared").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             table[r["k"] >> BITS, r["k"] & (1 << BITS) - 1] += r["n"]
     table[:, 0] = 0
+    judges = table.sum(axis=1) - 0.02 * ((1 << BITS) - 1) >= LEAST_TRIGRAMS
     table = np.log(np.maximum(table, 1e-9) / table.sum(axis=1, keepdims=True))
     table[:, 0] = NEUTRAL
-    return names, table.astype(np.float32)
+    return names, table.astype(np.float32), judges
 
 
-def score(frame: DataFrame, model: np.ndarray) -> DataFrame:
+def score(frame: DataFrame, names: list[str], model: np.ndarray, judges: np.ndarray) -> DataFrame:
     """Text evidence per document: scaled log-likelihoods, the text-only posterior q, and whether the text reads like any language."""
     n_languages = len(model)
+    unjudged = {x for x, judge in zip(names, judges, strict=True) if not judge}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", AT_ONCE):
@@ -112,7 +120,8 @@ def score(frame: DataFrame, model: np.ndarray) -> DataFrame:
             lengths = np.array([len(t) for t in texts], np.int64)
             telling = np.add.reduceat((code != 0).astype(np.int64), starts) if texts else lengths
             lettered = np.array([len(t.translate(None, NO_LETTER)) > 0 for t in texts], bool)
-            spoken = lettered & ((sums.max(axis=1, initial=-np.inf) - (lengths + 2) * NEUTRAL > -SLACK * telling) | (telling == 0))
+            silent = np.array([not judges.any() or x in unjudged for x in batch.column("declared").to_pylist()], bool)
+            spoken = lettered & ((sums[:, judges].max(axis=1, initial=-np.inf) - (lengths + 2) * NEUTRAL > -SLACK * telling) | (telling == 0) | silent)
             scaled = np.where(lengths[:, None] > 0, TEMPER * (sums - sums.max(axis=1, keepdims=True)), 0.0)
             q = np.exp(scaled)
             q /= q.sum(axis=1, keepdims=True)
@@ -135,10 +144,10 @@ def identify(frame: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LE
     """One row per row of ``frame`` (see :func:`evidence`): doc_id, key (a hash of the text), lang, p, text_lang, declared, accepted."""
     result = "doc_id long, key long, lang string, p double, text_lang string, declared string, accepted boolean"
     small_batches(frame.sparkSession)
-    names, model = fit(frame, sample_rows)
+    names, model, judges = fit(frame, sample_rows)
     if not names:
         return frame.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("p"), F.lit(None).cast("string").alias("text_lang"), "declared", F.lit(False).alias("accepted"))
-    scored = materialize(score(frame, model), "scored")
+    scored = materialize(score(frame, names, model, judges), "scored")
     n = len(names)
     total = np.array(scored.agg(*[F.coalesce(F.sum(F.col("q")[i]), F.lit(0.0)) for i in range(n)]).first(), float)
     known = F.when(F.col("declared").isin(names), F.col("declared"))

@@ -63,3 +63,34 @@ def test_awkward_rows(spark):
     assert op.identify(op.of_documents(cases.table(spark).limit(0))).count() == 0
     silent = cases.table(spark).selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars")
     assert not any(r.accepted for r in op.identify(op.of_documents(silent)).collect())
+
+
+JUNK = "xq zjv qqk wxz jkq vvx zzq kjx"
+
+
+def test_a_rare_declared_value_does_not_let_junk_through(spark):
+    """Neither in the fit nor sampled away from it."""
+    data = [(i, t, lang, h, 0) for i, t, lang, h in corpus()] + [(900, JUNK, None, "host1", 0), (901, "ab", "zz", "host2", 0), (902, "quelque autre texte", "yy", "host2", 0)]
+    frame = op.of_documents(spark.createDataFrame(data, cases.SCHEMA))
+    for sample_rows in (10, op.SAMPLE_ROWS):
+        names, _, judges = op.fit(frame, sample_rows)
+        assert {"zz", "yy"} <= set(names)
+        got = {r.doc_id: r for r in op.identify(frame, sample_rows).collect()}
+        assert not judges[names.index("zz")]
+        if judges.any():
+            assert not got[900].accepted
+    assert judges.sum() == 3 and sum(got[i].accepted for i in range(600)) == 600
+
+
+def test_every_row_of_a_rare_language_is_fitted(spark):
+    data = [(i, t, lang, h, 0) for i, t, lang, h in corpus()] + [(900 + i, "wij zijn hier geweest toch", "nl", "host1", 0) for i in range(3)]
+    names, model, _ = op.fit(op.of_documents(spark.createDataFrame(data, cases.SCHEMA)), 50)
+    code, _ = op.codes([b"wij zijn hier geweest toch"])
+    seen = model[names.index("nl")]
+    assert (seen[code[code != 0]] > np.median(seen[1:]) + 3).all()
+
+
+def test_more_languages_than_128(spark):
+    data = [(i, f"{'abcdefghijklmnop'[i % 16]}{'abcdefghijklmnop'[i // 16]}ol tam wer " * 5, f"l{i:03d}", "h", 0) for i in range(150)]
+    names, model, _ = op.fit(op.of_documents(spark.createDataFrame(data, cases.SCHEMA)))
+    assert len(names) == len(model) == 150
