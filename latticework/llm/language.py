@@ -192,8 +192,7 @@ def identify(frame: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LE
 
 def of_documents(docs: DataFrame) -> DataFrame:
     """Evidence of ``documents``: markup in the text declares, else the lang column; the source is the host."""
-    start = F.substring("text", 1, 4096)  # where markup opens; the text itself is read whole
-    markup = F.when(start.contains("<html"), F.regexp_extract(start, MARKUP, 1))
+    markup = F.when(F.col("text").contains("<") & F.col("text").rlike("(?i)<html"), F.regexp_extract("text", MARKUP, 1))
     return evidence(docs.withColumn("doc_id", F.col("doc_id").cast("long")), F.col("text"), F.coalesce(F.when(markup != "", markup), F.col("lang")), None, F.col("source"))
 
 

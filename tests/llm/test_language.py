@@ -94,3 +94,12 @@ def test_more_languages_than_128(spark):
     data = [(i, f"{'abcdefghijklmnop'[i % 16]}{'abcdefghijklmnop'[i // 16]}ol tam wer " * 5, f"l{i:03d}", "h", 0) for i in range(150)]
     names, model, _ = op.fit(op.of_documents(spark.createDataFrame(data, cases.SCHEMA)))
     assert len(names) == len(model) == 150
+
+
+def test_markup_declares_wherever_it_stands(spark):
+    """As in of_pages: after a long comment, across any border, in any case."""
+    pages = ["<html lang='fr'><p>x", "<!--" + "a" * 5000 + "--><html lang=fr>", " " * 4090 + '<html class="y" lang="fr">', '<HTML LANG="FR"><P>x', "no markup", "<p>" + "b" * 4096]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(pages)], cases.SCHEMA)
+    got = {r.doc_id: r.declared for r in op.of_documents(docs).collect()}
+    assert got == {0: "fr", 1: "fr", 2: "fr", 3: "fr", 4: "en", 5: "en"}
+    assert [r.declared for r in op.of_pages(docs.selectExpr("doc_id page_id", "text html", "'' url")).orderBy("doc_id").collect()] == ["fr"] * 4 + [None] * 2
