@@ -27,6 +27,9 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir names no folder, and executors of a cluster share no other")
     if _own_scratch is None:
         _own_scratch = "file://" + tempfile.mkdtemp(prefix="latticework-")
     return _own_scratch

@@ -15,7 +15,7 @@ one of those, or any where there is no other, needs letters alone.
 
 Every declared language is one of those told apart; the model and the posteriors grow with their number.
 
-Defined cases: null or empty text has no text evidence and is not accepted; null declaration, address or host
+Defined cases: null or empty text has no text evidence and is not accepted; very long texts are read whole, a text at a time where one exceeds ``AT_ONCE``; null declaration, address or host
 contribute nothing; ties go to the commoner language, then the lesser name; rows that repeat are judged each; without any
 declared language in the table nothing is accepted; an empty table gives an empty result; further columns are kept by :func:`accepted` and ignored by
 :func:`identify`.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,9 +82,11 @@ def fit(frame: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np
     known = frame.filter("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()
     names = [r["declared"] for r in known]
     number = {x: i for i, x in enumerate(names)}
-    rest = [F.lit(x) for r in known if r["count"] > sample_rows for x in (r["declared"], int(sample_rows / r["count"] * (1 << 20)))]
-    below = F.coalesce(F.try_element_at(F.create_map(*rest), F.col("declared")), F.lit(1 << 20)) if rest else F.lit(1 << 20)
-    sample = frame.filter("declared is not null and declared <> ''").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < below)
+    # Thresholds of 62 bits hold at any count; a language always has one row at least in reach.
+    rest = [F.lit(x) for r in known if r["count"] > sample_rows for x in (r["declared"], max(1, (sample_rows << 62) // r["count"]))]
+    rest[1::2] = [x.cast("long") for x in rest[1::2]]
+    below = F.coalesce(F.try_element_at(F.create_map(*rest), F.col("declared")), F.lit(1 << 62)) if rest else F.lit(1 << 62)
+    sample = frame.filter("declared is not null and declared <> ''").filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
@@ -154,21 +157,29 @@ def identify(frame: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LE
     joined = scored.withColumn("declared_known", known)
     keys = ("declared_known", "suffix", "domain", "host")
     for key in keys:
-        own = _counts(joined, key, n)
+        # Written, so that Spark knows its size: small tables are broadcast and the documents stay where they are.
+        own = materialize(_counts(scored.withColumn("declared_known", known), key, n), f"per-{key}")
         joined = joined.join(own, joined[key] == own[f"k_{key}"], "left")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-total, kind="stable")  # ties go to the commoner language
         for batch in batches:
             rows = batch.num_rows
-            matrix = lambda c: np.array([x if x is not None else [0.0] * n for x in batch.column(c).to_pylist()], float).reshape(rows, n)
+
+            def matrix(c: str) -> np.ndarray:
+                lists = batch.column(c)
+                out, there = np.zeros((rows, n)), lists.is_valid().to_numpy(zero_copy_only=False)
+                out[there] = lists.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                return out
+
+            has = {c: batch.column(c).is_valid().to_numpy(zero_copy_only=False)[:, None] for c in keys}
             q, loglik = matrix("q"), matrix("loglik")
             rest = total[None, :] - q
             prior = (rest + 1) / (rest + 1).sum(axis=1, keepdims=True)
             globally = prior
-            one = np.array([d is not None and d == h for d, h in zip(batch.column("domain").to_pylist(), batch.column("host").to_pylist(), strict=True)])
+            one = pc.fill_null(pc.equal(batch.column("domain"), batch.column("host")), False).to_numpy(zero_copy_only=False)
             for key in ("domain", "host"):
-                others = np.maximum(matrix(f"n_{key}") - q, 0) * np.array([x is not None for x in batch.column(key).to_pylist()])[:, None]
+                others = np.maximum(matrix(f"n_{key}") - q, 0) * has[key]
                 finer = (others + STRENGTH * prior) / (others.sum(axis=1, keepdims=True) + STRENGTH)
                 prior = np.where(one[:, None], prior, finer) if key == "host" else finer
             fused = loglik + np.log(prior)
@@ -176,7 +187,7 @@ def identify(frame: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LE
                 # P(key | language) up to a factor that is the same for all languages: P(language | key) / P(language).
                 others = np.maximum(matrix(f"n_{key}") - q, 0)
                 given = (others + STRENGTH * globally) / (others.sum(axis=1, keepdims=True) + STRENGTH)
-                fused += np.where(np.array([x is not None for x in batch.column(key).to_pylist()])[:, None], np.log(given / globally), 0.0)
+                fused += np.where(has[key], np.log(given / globally), 0.0)
             fused -= fused.max(axis=1, keepdims=True, initial=-np.inf) if rows else 0
             p = np.exp(fused)
             p /= p.sum(axis=1, keepdims=True)

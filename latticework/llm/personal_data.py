@@ -7,7 +7,8 @@ Votes and coarse shape features make a small code, so the corpus is summed up by
 size the code bounds, not the data. EM on these counts estimates each labeler's reliability per kind and a posterior per
 vote pattern; a logistic span classifier is trained on the posteriors over all counts, and spans it accepts are added.
 
-Defined cases: null text is the empty text; rows that repeat are reported each; null ``doc_id`` stays null; an empty table gives an
+Defined cases: null text is the empty text; very long texts are read whole, in time that grows with their length; of added spans that overlap the one that starts first stays, of
+equal starts the first kind; rows that repeat are reported each; null ``doc_id`` stays null; an empty table gives an
 empty result; added spans never overlap base spans or each other; further columns are ignored.
 """
 
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +33,18 @@ LABELERS = ("pattern", "validity", "gazetteer", "context", "edges")
 #: Probability from which the classifier adds a span.
 ACCEPT = 0.5
 
-# Fixed patterns of the base rules.
+# Fixed patterns of the base rules. A run of digits is entered at its first digit alone: where that fails, so do the others, and a match ends where its last run does.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Looser forms, which are candidates only.
+AT = re.compile(r"@|\[at\]|\(at\)")
+LOOSE_LOCAL = 64
+LOOSE_DOMAIN = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}){1,8}")
 LOOSE = {
-    0: re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{1,63}){1,8}"),
     1: re.compile(r"[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
     2: re.compile(r"[0-9]{4}(?:[ ./_ -]?[0-9]{4}){2}[ ./_ -]?[0-9]{1,7}"),
     3: re.compile(r"(?:\(?00|\+)?\(?[0-9]{1,4}\)?(?:[ ./ -]\(?[0-9]{2,4}\)?){2,5}"),
@@ -87,6 +92,25 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def loose(kind: int, text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping looser forms. Addresses are found from what stands for their at sign."""
+    if kind:
+        for m in LOOSE[kind].finditer(text):
+            yield m.span()
+        return
+    last = 0
+    for at in AT.finditer(text):
+        stop = at.start()
+        if stop > last and text[stop - 1] == " ":
+            stop -= 1
+        start = stop
+        while start > max(last, stop - LOOSE_LOCAL) and text[start - 1] in LOCAL:
+            start -= 1
+        if start < stop and at.start() >= last and (m := LOOSE_DOMAIN.match(text, at.end())):
+            last = m.end()
+            yield start, last
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base rules, sorted."""
     out = [(a, 0, b) for a, b in emails(text)]
@@ -137,14 +161,15 @@ def code(kind: int, span: str, ballot: list[int]) -> int:
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, bool]]]:
-    """Base spans, and candidates (start, kind, end, code, base)."""
+    """Base spans, and candidates (start, kind, end, code, base). Spans of one kind never overlap each other, so one look at their ends tells what a looser form meets."""
     base = base_spans(text)
     found = [(a, k, b, True) for a, k, b in base]
-    for kind, pattern in LOOSE.items():
-        own = [(a, b) for a, k, b in base if k == kind]
-        for m in pattern.finditer(text):
-            if not any(m.start() < b and a < m.end() for a, b in own):
-                found.append((m.start(), kind, m.end(), False))
+    for kind in range(len(KINDS)):
+        starts, ends = ([x[i] for x in base if x[1] == kind] for i in (0, 2))
+        for a, b in loose(kind, text):
+            before = bisect_left(starts, b)  # spans that begin before b
+            if not before or ends[before - 1] <= a:
+                found.append((a, kind, b, False))
     out = []
     for a, k, b, strict in sorted(found):
         span = text[a:b]
@@ -152,6 +177,18 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     return base, out
 
 
+def join(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Base spans, and of ``more`` (both sorted) each that meets no base span and none taken before it."""
+    starts, furthest, end = [x[0] for x in base], list(accumulate((x[2] for x in base), max)), 0
+    out = list(base)
+    for a, k, b in more:
+        before = bisect_left(starts, b)
+        if a >= end and not (before and furthest[before - 1] > a):
+            out.append((a, k, b))
+            end = b
+    return sorted(out)
+
+
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
@@ -235,11 +272,8 @@ def decide(found: DataFrame, weights: dict[int, np.ndarray], accept: float = ACC
         for batch in batches:
             spans = []
             for start, kind, end, number, base in zip(*(batch.column(c).to_pylist() for c in ("start", "kind", "end", "code", "base")), strict=True):
-                taken = [(a, k, b) for a, k, b, s in zip(start, kind, end, base, strict=True) if s]
-                for a, k, b, c, s in zip(start, kind, end, number, base, strict=True):
-                    if not s and accepted(k, c) and not any(a < y and x < b for x, _, y in taken):
-                        taken.append((a, k, b))
-                spans.append(spell(sorted(taken)))
+                each = list(zip(start, kind, end, number, base, strict=True))
+                spans.append(spell(join([(a, k, b) for a, k, b, _, s in each if s], [(a, k, b) for a, k, b, c, s in each if not s and accepted(k, c)])))
             names = [x.split()[0] for x in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(spans, pa.string())], names)
 

@@ -4,8 +4,9 @@ Seven heuristics look at a whole text and vote good, bad or abstain. Vote patter
 EM estimates each heuristic's accuracy and a posterior per pattern. A logistic scorer over hashed byte trigrams (their shares of the
 text) and the heuristics' votes learns the posteriors on a bounded sample of documents and then scores every whole text.
 
-Defined cases: null text is the empty text; texts without words are voted on by length alone; rows that repeat are scored each; null ``doc_id``
-stays null; an empty table gives an empty result; further columns are ignored by :func:`assess`.
+Defined cases: null text is the empty text; texts without words are voted on by length alone; very long texts are read whole, a text at a time where one
+exceeds ``AT_ONCE``; rows that repeat are scored each but are one row of the sample; of rows whose pick ties one is in the sample; a score that equals ``keep`` keeps;
+null ``doc_id`` stays null; an empty table gives an empty result; further columns are ignored by :func:`assess`.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, texts, texts_of
+from .common import documents, materialize, release, slices, small_batches, texts, texts_of
 from .weak import accuracies
 
 HEURISTICS = ("symbols", "capitals", "separators", "repetition", "function words", "word length", "length")
 #: Hashed dimensions of the scorer.
 BITS = 12
-#: Documents that the scorer is fitted on, about: 4096 rows of 4096 half-precision shares are 32 MB on the driver.
+#: Most documents that the scorer is fitted on: 4096 rows of 4096 half-precision shares are 32 MB on the driver.
 SAMPLE_DOCS = 4096
 SCALE = 64.0
 #: Trigrams at which a text's own evidence counts half: the shares of a few words say little.
@@ -90,23 +91,53 @@ def trigrams(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (three * np.uint32(2654435761)) >> np.uint32(32 - BITS), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), lengths
 
 
-def vote(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
-    """(doc_id, code, shares): votes of every document, and for about ``share`` of them the trigram shares."""
-    limit = int(share * (1 << 20))
+def _pick(id_col: str, text_col: str) -> Column:
+    """What the sample is drawn by: a hash of doc_id and text, so that neither empty texts nor a text's copies come in together."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def vote(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pick, code): the votes of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+        for batch in slices(batches, "text", AT_ONCE):
+            codes = pa.array([code(votes(t)) for t in texts_of(batch.column("text"))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pick"), codes], ["doc_id", "pick", "code"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _pick(id_col, text_col).alias("pick"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, pick long, code int")
+
+
+def sample(docs: DataFrame, voted: DataFrame, n: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(codes, shares) of the ``size`` rows of least ``pick``, all distinct; never more, whatever repeats. ``n`` counts all rows."""
+    picks = voted.groupBy("pick").agg(F.min("code").alias("code"))
+    edge = -(1 << 63) + ((2 * size << 64) // max(n, 1))
+    near = picks.filter(F.col("pick") < edge) if edge < (1 << 63) - 1 else picks
+    chosen = near.orderBy("pick").limit(size).collect()
+    if len(chosen) < min(size, n) and near is not picks:  # rows repeat so much that few lie below the edge
+        chosen = picks.orderBy("pick").limit(size).collect()
+    codes = {r["pick"]: r["code"] for r in chosen}
+    few = docs.sparkSession.createDataFrame([(k,) for k in codes], "pick long")
+    rows = docs.select(_pick(id_col, text_col).alias("pick"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(few), "pick", "left_semi")  # at most ``size`` longs
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in slices(batches, "text", AT_ONCE):
-            some = texts_of(batch.column("text"))
-            shares = [None] * len(some)
-            for i, t in enumerate(some):
-                if zlib.crc32(t) & 0xFFFFF < limit:
-                    found, _, n = trigrams([t])
-                    shares[i] = (np.bincount(found, minlength=1 << BITS) * (SCALE / n[0])).astype(np.float16).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([code(votes(t)) for t in some], pa.int32()), pa.array(shares, pa.binary())], ["doc_id", "code", "shares"])
+            picks, shares = [], []
+            for pick, t in zip(batch.column("pick").to_pylist(), texts_of(batch.column("text")), strict=True):
+                if pick not in seen:
+                    found, _, many = trigrams([t])
+                    picks.append(pick)
+                    shares.append((np.bincount(found, minlength=1 << BITS) * (SCALE / many[0])).astype(np.float16).tobytes())
+                    seen.add(pick)
+            yield pa.RecordBatch.from_arrays([pa.array(picks, pa.int64()), pa.array(shares, pa.binary())], ["pick", "shares"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, code int, shares binary")
+    shares = {r["pick"]: r["shares"] for r in rows.mapInArrow(run, "pick long, shares binary").groupBy("pick").agg(F.first("shares").alias("shares")).collect()}
+    order = sorted(shares)
+    x = np.stack([np.frombuffer(shares[k], np.float16) for k in order]).astype(np.float32) if order else np.zeros((0, 1 << BITS), np.float32)
+    return np.array([codes[k] for k in order], np.int64), x
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -134,18 +165,14 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     n = docs.count()
     if not n:
         return spark.createDataFrame([], RESULT)
-    voted = materialize(vote(docs, id_col, text_col, min(1.0, sample_docs / n)), "votes")
+    voted = materialize(vote(docs, id_col, text_col), "votes", most_rows=n)
     patterns = sorted((r["code"], r["count"]) for r in voted.groupBy("code").count().collect())  # at most 3^7
     codes, counts = (np.array(x) for x in zip(*patterns, strict=True))
     _, prior, post = accuracies(ballots(codes), counts)
     posterior = dict(zip(codes.tolist(), post.tolist(), strict=True))
-    sample = voted.filter("shares is not null").select("code", "shares").collect()  # bounded by sample_docs
-    if sample:
-        x = np.stack([np.frombuffer(r["shares"], np.float16) for r in sample]).astype(np.float32)
-        x = np.concatenate((x, structure(np.array([r["code"] for r in sample]))), axis=1)
-        weights, bias = fit(x, np.array([posterior[r["code"]] for r in sample]))
-    else:
-        weights, bias = np.zeros((1 << BITS) + 2 * len(HEURISTICS), np.float32), 0.0
+    own, shares = sample(docs, voted, n, sample_docs, id_col, text_col)
+    weights, bias = fit(np.concatenate((shares, structure(own)), axis=1), np.array([posterior[c] for c in own.tolist()]))
+    release(voted)
     odds = float(np.log(prior / (1 - prior)))  # the fit weighs both classes alike
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

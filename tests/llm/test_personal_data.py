@@ -74,3 +74,44 @@ def test_whole_operator(spark):
 
 def test_empty(spark):
     assert op.detect(cases.table(spark).limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in ("7" * 1_000_000, " ".join(f"a{i}@mail{i % 7}.example.com" for i in range(100_000)), "1." * 300_000, "@a" * 300_000, "+1(" * 200_000):
+        start = time.process_time()
+        base, more = op.scan(text)
+        op.join(base, [x[:3] for x in more if not x[4]])
+        assert time.process_time() - start < 4  # a few times what is needed: the machine may be busy
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 3), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 3), st.integers(1, 9)), max_size=12))
+def test_joined_spans_against_all_pairs(base, more):
+    base, more = (sorted((a, k, a + n) for a, k, n in x) for x in (base, more))
+    taken = list(base)
+    for a, k, b in more:
+        if not any(a < y and x < b for x, _, y in taken):
+            taken.append((a, k, b))
+    assert op.join(base, more) == sorted(taken)
+
+
+def test_spans_against_the_fitted_classifier(spark):
+    """Every document's ``spans``, recomputed from the counts of all candidates."""
+    from collections import Counter
+
+    extra = [(500 + i, t, None, None, None) for i, t in enumerate(["mail me: anna [at] example [dot] com", "tel. 0171 555 3436", "write to x.y@mail.example.org or +49 30 1234567890", "card 4111-1111-1111-1111 from 10.1.2.3"] * 5)]
+    data = cases.rows() + extra
+    scans = [(r[0], op.scan(r[1] or "")) for r in data]
+    weights = op.classifiers([(k, c, n) for (k, c), n in Counter((k, c) for _, (_, more) in scans for _, k, _, c, _ in more).items()])
+    want = []
+    for doc, (base, more) in scans:
+        taken = list(base)
+        for a, k, b, c, strict in more:
+            p = 1 / (1 + np.exp(-(op.features(np.array([c])) @ weights[k])[0]))
+            if not strict and p >= op.ACCEPT and not any(a < y and x < b for x, _, y in taken):
+                taken.append((a, k, b))
+        want.append((doc, ",".join(f"{op.KINDS[k]}:{a}:{b}" for a, k, b in sorted(taken))))
+    got = [(r.doc_id, r.spans) for r in op.detect(spark.createDataFrame(data, cases.SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -61,3 +61,39 @@ def test_awkward_rows(spark):
     assert op.assess(docs.limit(0)).count() == 0
     again = {(r.doc_id, r.score) for r in op.assess(docs.repartition(3)).collect()}
     assert all(any(abs(s - r.score) < 1e-3 for i, s in again if i == r.doc_id) for r in got)
+
+
+def test_sample_is_bounded_and_of_distinct_rows(spark):
+    """Half the rows are empty and a quarter are one text; the sample holds ``size`` distinct rows, whatever repeats."""
+    texts = [(i, cases.sentence(random.Random(i), 20)) for i in range(500)]
+    data = texts + [(None, None)] * 500 + [(600 + i, "") for i in range(500)] + [(None, "the very same text")] * 500
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    voted = op.vote(docs).cache()
+    for size in (50, 400, 5000):
+        codes, shares = op.sample(docs, voted, len(data), size)
+        assert len(codes) == len(shares) == min(size, 1002)
+    copies = spark.createDataFrame([(None, "one text")] * 3000 + [(1, "another text")], "doc_id long, text string")
+    assert len(op.sample(copies, op.vote(copies), 3001, 10)[0]) == 2
+
+
+def test_scores_from_the_fitted_weights(spark):
+    """The same label model and scorer, text by text."""
+    rows = [(i, t) for i, t, _ in corpus(120)] + [(900, None), (901, ""), (902, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in op.assess(docs).collect()}
+    ballots = {i: op.votes((t or "").encode()) for i, t in rows}
+    kinds = sorted({op.code(b) for b in ballots.values()})
+    counts = np.array([sum(op.code(b) == k for b in ballots.values()) for k in kinds])
+    _, prior, post = weak.accuracies(op.ballots(np.array(kinds)), counts)
+    posterior = dict(zip(kinds, post, strict=True))
+    codes, shares = op.sample(docs, op.vote(docs), len(rows), op.SAMPLE_DOCS)
+    weights, bias = op.fit(np.concatenate((shares, op.structure(codes)), axis=1), np.array([posterior[c] for c in codes.tolist()]))
+    for i, t in rows:
+        data = (t or "").encode() + b"\0\0"
+        # The last two windows look into the padding after the text.
+        windows = [data[j : j + 3].ljust(3, b"\0") for j in range(len(data))]
+        total = sum(float(weights[(int.from_bytes(w, "big") * 2654435761 & 0xFFFFFFFF) >> 32 - op.BITS]) for w in windows) * op.SCALE / (len(data) + op.HALF)
+        told = sum(float(weights[(1 << op.BITS) + j]) for j, v in enumerate(ballots[i]) if v == 1) + sum(float(weights[(1 << op.BITS) + len(op.HEURISTICS) + j]) for j, v in enumerate(ballots[i]) if v == 2)
+        p = 1 / (1 + np.exp(-np.clip(total + told + bias + np.log(prior / (1 - prior)), -30, 30)))
+        assert got[i].posterior == posterior[op.code(ballots[i])]
+        assert abs(got[i].score - p) < 2e-2, i  # the windows over a text's end see the next text of its batch
