@@ -18,13 +18,18 @@ def byte_symbols() -> dict[str, int]:
 def byte_level(token: Column) -> Column:
     """Bytes of a token of a byte-level vocabulary; null if it holds a character that stands for no byte."""
     symbols = byte_symbols()
-    # Each character becomes two hex digits: characters that stand for themselves are encoded as Latin-1, the others are moved to their byte first.
-    moved = {c: b for c, b in symbols.items() if ord(c) != b}
-    known = F.create_map(*[F.lit(x) for c, b in moved.items() for x in (c, f"{b:02X}")])
-    own = {c: b for c, b in symbols.items() if ord(c) == b}
-    one = lambda c: F.coalesce(known[c], F.when(c.isin(list(own)), F.lpad(F.hex(F.ascii(c)), 2, "0")))
-    digits = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), one)
-    return F.when(F.exists(digits, lambda d: d.isNull()), None).otherwise(F.unhex(F.array_join(digits, "")))
+    # Symbols beyond Latin-1 are moved to their byte's character; then each character is one byte.
+    moved = {c: chr(b) for c, b in symbols.items() if ord(c) != b and b}
+    own = "".join(f"\\x{{{ord(c):x}}}" for c in symbols)
+    latin = F.translate(token, "".join(moved), "".join(moved.values()))
+    latin = F.replace(latin, F.lit(chr(0x100)), F.lit("\0"))  # which translate would take for a deletion
+    return F.when(token.rlike(f"\\A[{own}]*\\z"), F.encode(latin, "ISO-8859-1"))
+
+
+def spell_byte_level(text: Column) -> Column:
+    """A text as a byte-level vocabulary spells its UTF-8 bytes."""
+    moved = {chr(b): c for c, b in byte_symbols().items() if ord(c) != b}
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "".join(moved), "".join(moved.values()))
 
 
 def byte_fallback(token: Column, space: str = " ") -> Column:

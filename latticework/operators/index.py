@@ -1,20 +1,25 @@
 """An index is the automaton of a pattern, stepped by whole tokens of a vocabulary: edges (state, token_id, next_state) and states (state, is_final).
 
-Each distinct token is walked once from all states at the same time: a fold over its bytes carries an array with the state reached from every
-state. The table of the automaton is a constant of the plan, so there is no join and no Python. Which states are reached by tokens from the start is
-found on the driver from the distinct (state, next_state) pairs, whose number the automaton bounds, not the vocabulary.
+Each distinct token is walked once from many states at the same time: an array with the state reached from each of them goes through the table byte by
+byte, and tokens of a batch that share a prefix share its arrays. Which states are reached by tokens from the start is found on the driver from the
+distinct (state, next_state) pairs, whose number the automaton bounds, not the vocabulary; then the edges of these states alone are made, once, and kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions.tokens import bytes_of, int_array
 from ..plans.automaton import DEAD, START, Automaton, compile_pattern
+from ..workers import importable
 from .vocabulary import Vocabulary
 
 EDGES = "state int, token_id long, next_state int"
@@ -26,24 +31,78 @@ def walk(automaton: Automaton, token: Column, state: Column) -> Column:
     return F.aggregate(bytes_of(token), state, lambda s, b: F.get(delta, s * automaton.n_classes + F.get(classes, b)))
 
 
-def walk_all(automaton: Automaton, token: Column) -> Column:
-    """The states reached from each state, as an array by state."""
-    delta, classes = int_array(automaton.delta), int_array(automaton.classes)
-    every = int_array(range(automaton.n_states))
-    return F.aggregate(bytes_of(token), every, lambda states, b: F.transform(states, lambda s: F.get(delta, s * automaton.n_classes + F.get(classes, b))))
-
-
 def accepts(automaton: Automaton, text: Column) -> Column:
     """Whether the whole text matches."""
     return F.get(int_array(int(x) for x in automaton.final), walk(automaton, F.encode(text, "UTF-8"), F.lit(START))) == 1
 
 
-def steps(automaton: Automaton, vocabulary: Vocabulary) -> DataFrame:
-    """(state, ids, next_state) for every state of the automaton and each token that leads to a useful one. A token one of whose ids ends the sequence is left out as a whole."""
-    useful = int_array(int(x) for x in automaton.useful)
-    tokens = vocabulary.tokens().filter(~F.array_contains("ids", vocabulary.eos_token_id))
-    each = tokens.select("ids", F.posexplode(walk_all(automaton, F.col("token"))).alias("state", "next_state"))
-    return each.filter((F.col("state") != DEAD) & (F.get(useful, F.col("next_state")) == 1))
+#: Rows of a batch of edges.
+BATCH_EDGES = 1 << 18
+
+
+def _walked(automaton: Automaton, starts: np.ndarray, tokens: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the token, starts, states reached) where a useful state is reached; tokens are taken in order, so that each prefix is walked once."""
+    stack, before = [starts.astype(np.int32)], b""
+    for i in sorted(range(len(tokens)), key=tokens.__getitem__):
+        token, shared = tokens[i], 0
+        while shared < min(len(token), len(before)) and token[shared] == before[shared]:
+            shared += 1
+        del stack[shared + 1 :]
+        for byte in token[shared:]:
+            stack.append(automaton.delta[stack[-1] * automaton.n_classes + automaton.classes[byte]])
+        before = token
+        live = np.flatnonzero(automaton.useful[stack[-1]])
+        if len(live):
+            yield i, starts[live], stack[-1][live]
+
+
+def _tokens(vocabulary: Vocabulary) -> DataFrame:
+    """A token one of whose ids ends the sequence is left out as a whole."""
+    return vocabulary.tokens().filter(~F.array_contains("ids", vocabulary.eos_token_id)).select("token", "ids")
+
+
+def pairs(automaton: Automaton, vocabulary: Vocabulary) -> list[tuple[int, int]]:
+    """The distinct (state, next_state) of all states and tokens."""
+    size = automaton.n_states
+    starts = np.array([s for s in range(size) if s != DEAD], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, a, b in _walked(automaton, starts, batch.column("token").to_pylist()):
+                seen.update((a * size + b).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["pair"])
+
+    importable(vocabulary.frame.sparkSession)
+    return [divmod(r["pair"], size) for r in _tokens(vocabulary).mapInArrow(run, "pair long").distinct().collect()]
+
+
+def steps(automaton: Automaton, vocabulary: Vocabulary, states: list[int]) -> DataFrame:
+    """(state, ids, next_state) for the given states and each token that leads to a useful one."""
+    starts = np.array([s for s in states if s != DEAD], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            whose, from_, to, n = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array(np.concatenate(from_), pa.int32()), ids.take(pa.array(np.concatenate(whose), pa.int64())), pa.array(np.concatenate(to), pa.int32())]
+                return pa.RecordBatch.from_arrays(columns, ["state", "ids", "next_state"])
+
+            for i, a, b in _walked(automaton, starts, batch.column("token").to_pylist()):
+                whose.append(np.full(len(a), i, np.int64))
+                from_.append(a)
+                to.append(b)
+                n += len(a)
+                if n >= BATCH_EDGES:
+                    yield made()
+                    whose, from_, to, n = [], [], [], 0
+            if n:
+                yield made()
+
+    importable(vocabulary.frame.sparkSession)
+    return _tokens(vocabulary).mapInArrow(run, "state int, ids array<long>, next_state int")
 
 
 def reached(pairs: list[tuple[int, int]]) -> list[int]:
@@ -61,32 +120,36 @@ def reached(pairs: list[tuple[int, int]]) -> list[int]:
 
 
 class Index:
-    def __init__(self, regex: str, vocabulary: Vocabulary):
+    def __init__(self, regex: str, vocabulary: Vocabulary, **limits: int):
+        """``limits`` go to :func:`compile_pattern`: most_threads, most_states."""
         self.regex = regex
         self.eos_token_id = vocabulary.eos_token_id
-        automaton = compile_pattern(regex)
-        found = steps(automaton, vocabulary)
-        pairs = [(r["state"], r["next_state"]) for r in found.select("state", "next_state").distinct().collect()]
-        states = reached(pairs)
-        leaving = {a for a, _ in pairs}
+        automaton = compile_pattern(regex, **limits)
+        found = pairs(automaton, vocabulary)
+        states = reached(found)
+        leaving = {a for a, _ in found}
         for s in states:
             if s not in leaving and not automaton.final[s]:
                 missing = [chr(b) if b < 128 else f"\\x{b:02x}" for b in automaton.live_bytes(s)]
                 raise errors.IncompatibleVocabulary(regex=regex, error_state=s, missing_tokens=missing)
         spark = vocabulary.frame.sparkSession
-        kept = found.filter(F.col("state").isin(states)).select("state", F.explode("ids").alias("token_id"), "next_state")
+        kept = steps(automaton, vocabulary, states).select("state", F.explode("ids").alias("token_id"), "next_state")
         # An id that stands for several tokens can have several steps from a state; the least next state is taken.
         kept = kept.groupBy("state", "token_id").agg(F.min("next_state").alias("next_state"))
         self.finals = [s for s in states if automaton.final[s]]
         self.states = spark.createDataFrame([(s, bool(automaton.final[s])) for s in states], "state int, is_final boolean")
         ends = self.states.filter("is_final").select("state", F.lit(self.eos_token_id).cast("long").alias("token_id"), F.col("state").alias("next_state"))
-        self.edges = kept.unionByName(ends)
+        self.edges = kept.unionByName(ends).persist(StorageLevel.MEMORY_AND_DISK)  # a lost executor's part is made again
         self._size: int | None = None
         self._vocabulary = vocabulary
         self.automaton = automaton
 
     initial_state = START
 
+    def unpersist(self) -> None:
+        """Lets go of the edges that were kept; they are made again where they are read."""
+        self.edges.unpersist()
+
     @property
     def vocab_size(self) -> int:
         """Ids of the vocabulary, the end of sequence among them."""

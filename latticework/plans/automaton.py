@@ -19,7 +19,7 @@ from .regex_syntax import Ranges, parse
 
 DEAD, START = 0, 1
 #: Sizes beyond which a pattern is refused.
-MOST_THREADS, MOST_STATES = 400_000, 60_000
+MOST_THREADS, MOST_STATES = 4_000_000, 1_000_000
 
 _LENGTHS = (0x7F, 0x7FF, 0xFFFF, 0x10FFFF)
 
@@ -63,10 +63,11 @@ def utf8(ranges: Ranges) -> Iterator[tuple[tuple[int, int], ...]]:
 class _Threads:
     """States: ("byte", low, high, next), ("split", [next, ...]), ("end", next), ("start", next), ("match",)."""
 
+    most: int = MOST_THREADS
     states: list = field(default_factory=list)
 
     def add(self, *state) -> int:
-        if len(self.states) >= MOST_THREADS:
+        if len(self.states) >= self.most:
             raise IndexDfaError("the pattern is too large")
         self.states.append(state)
         return len(self.states) - 1
@@ -155,9 +156,9 @@ class Automaton:
         return [b for b in range(256) if self.step(state, b) != DEAD]
 
 
-def compile_pattern(pattern: str, semantics: str = "first") -> Automaton:
-    """The automaton of a pattern, anchored at both ends of the text."""
-    threads = _Threads()
+def compile_pattern(pattern: str, semantics: str = "first", most_threads: int = MOST_THREADS, most_states: int = MOST_STATES) -> Automaton:
+    """The automaton of a pattern, anchored at both ends of the text. Larger ones than ``most_threads`` and ``most_states`` are refused: they are the driver's memory."""
+    threads = _Threads(most_threads)
     try:
         entry = threads.build(parse(pattern), threads.add("match"))
     except RecursionError as e:
@@ -235,7 +236,7 @@ def compile_pattern(pattern: str, semantics: str = "first") -> Automaton:
                 found = closure(going)
             key = (found, matched)
             if key not in numbers:
-                if len(order) >= MOST_STATES:
+                if len(order) >= most_states:
                     raise IndexDfaError("the automaton is too large")
                 numbers[key] = len(order)
                 order.append(key)

@@ -108,9 +108,10 @@ def format_email_words(spark, sf_dir):
 WORDS = "SELECT DISTINCT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents"
 
 
-def word_vocabulary(spark, sf_dir) -> DataFrame:
-    """(word, token_id): a word's number is a hash of it; hashes that collide are one id for several tokens, which vocabularies allow."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word")).distinct()
+def word_vocabulary(spark, sf_dir, asked: DataFrame | None = None) -> DataFrame:
+    """(word, token_id): a word's number is a hash of it; hashes that collide are one id for several tokens, which vocabularies allow. Only the words ``asked`` for, where given."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    words = (words if asked is None else words.join(asked, "word", "left_semi")).distinct()
     return words.select("word", F.conv(F.substring(F.md5("word"), 1, 7), 16, 10).cast("long").alias("token_id"))
 
 
@@ -118,8 +119,8 @@ ID = "('0x' || substring(md5(word), 1, 7))::BIGINT"
 NO_ID = 1 << 31
 
 
-def vocabulary(spark, sf_dir) -> Vocabulary:
-    return Vocabulary(NO_ID, word_vocabulary(spark, sf_dir).select(F.encode("word", "UTF-8").alias("token"), "token_id"), checked=True)  # ids have 28 bits
+def vocabulary(spark, sf_dir, asked: DataFrame | None = None) -> Vocabulary:
+    return Vocabulary(NO_ID, word_vocabulary(spark, sf_dir, asked).select(F.encode("word", "UTF-8").alias("token"), "token_id"), checked=True)  # ids have 28 bits
 
 
 @query("vocab_build", f"SELECT word, {ID} AS token_id FROM ({WORDS})")
@@ -130,7 +131,9 @@ def vocab_build(spark, sf_dir):
 @query("vocab_lookup", f"SELECT item_id, count(token_id) AS n_known, count(*) AS n_words FROM (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM benchmark)) LEFT JOIN (SELECT word, {ID} AS token_id FROM ({WORDS})) ON w = word GROUP BY 1")
 def vocab_lookup(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).distinct()
-    found = vocabulary(spark, sf_dir).lookup(words, "w")
+    # The vocabulary's words that are asked for, before they are made distinct.
+    asked = words.select(F.col("w").alias("word")).distinct()
+    found = vocabulary(spark, sf_dir, asked).lookup(words, "w")
     return found.groupBy("item_id").agg(F.count("token_id").alias("n_known"), F.count("*").alias("n_words"))
 
 
@@ -179,11 +182,11 @@ def vocab_group_ids(spark, sf_dir):
 
 
 
-@query("decode_byte_level", f"SELECT word, lower(hex(encode(replace(word, '_', ' ')))) AS bytes FROM (SELECT DISTINCT unnest(string_split(replace(text, chr(10), '_'), ' ')) AS word FROM documents) WHERE regexp_full_match(word, '[!-~]+')")
+@query("decode_byte_level", "SELECT word, lower(hex(encode(word))) AS bytes FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)")
 def decode_byte_level(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit("_")), " ")).alias("word")).distinct().filter(P.fullmatch("word", "[!-~]+"))
-    marked = F.replace("word", F.lit("_"), F.lit("Ġ"))  # the blank's stand-in
-    return words.select("word", F.lower(F.hex(T.byte_level(marked))).alias("bytes"))
+    """Every word of the documents, line breaks among them, is spelled as a byte-level vocabulary spells it and read back."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.select("word", F.lower(F.hex(T.byte_level(T.spell_byte_level(F.col("word"))))).alias("bytes"))
 
 
 @query("decode_byte_fallback", "SELECT i AS token_id, CASE WHEN i < 256 THEN printf('%02x', i) ELSE lower(hex(encode(' x' || i::VARCHAR || ' '))) END AS bytes FROM range(600) t(i)")
@@ -339,9 +342,11 @@ def guide_long_sequences(spark, sf_dir):
 # Masks
 
 
-@query("mask_words", f"SELECT p_type, (p_partkey // 32)::INT AS word_idx, (CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END)::INT AS word FROM (SELECT p_type, p_partkey // 32 AS p, any_value(p_partkey) AS p_partkey, bit_or(1::BIGINT << (p_partkey % 32)) AS w FROM part WHERE p_partkey < 1024 GROUP BY 1, 2)")
+@query("mask_words", "SELECT p_type, (p_partkey // 32)::INT AS word_idx, (CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END)::INT AS word FROM (SELECT p_type, p_partkey // 32 AS p, any_value(p_partkey) AS p_partkey, bit_or(1::BIGINT << (p_partkey % 32)) AS w FROM part GROUP BY 1, 2)")
 def mask_words(spark, sf_dir):
-    return M.mask_words(table(spark, sf_dir, "part"), 1000, ["p_type"], "p_partkey").select("p_type", "word_idx", "word")
+    part = table(spark, sf_dir, "part")
+    size = part.agg(F.coalesce(F.max("p_partkey"), F.lit(0)) + 1).first()[0]
+    return M.mask_words(part, size, ["p_type"], "p_partkey").select("p_type", "word_idx", "word")
 
 
 @query("mask_arrays", "WITH words AS (SELECT p_type, p_size // 32 AS i, bit_or(1::BIGINT << (p_size % 32)) AS w FROM part WHERE p_size < 64 GROUP BY 1, 2) SELECT p_type, i::INT AS word_idx, coalesce((SELECT any_value(CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END) FROM words WHERE words.p_type = t.p_type AND words.i = r.i), 0)::INT AS word FROM (SELECT DISTINCT p_type FROM words) t, range(2) r(i)")
@@ -376,27 +381,35 @@ def guide_masks(spark, sf_dir):
 # Streams
 
 
-@query("stream_guide")
+STREAM_KINDS = ("click", "view", "purchase", "error", "signup")
+STREAM_TOKENS = {k[0] + str(i): i for i, k in enumerate(STREAM_KINDS)}
+STREAM_PATTERN = f"({'|'.join(list(STREAM_TOKENS)[:3])})*"
+STREAM_AUTOMATON = compile_pattern(STREAM_PATTERN)
+#: Where each accepted token leads; the same from every state, which lets a window find the state in SQL.
+_LEADS = {i: STREAM_AUTOMATON.walk(t.encode(), START) for t, i in list(STREAM_TOKENS.items())[:3]}
+_NUMBER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(STREAM_KINDS)) + " ELSE 99 END"
+_TO = "CASE event_type " + " ".join(f"WHEN '{STREAM_KINDS[i]}' THEN {s}" for i, s in _LEADS.items()) + " END"
+
+
+@query("stream_guide", f"SELECT user_id, event_id, {_NUMBER}::BIGINT AS token_id, state, lead IS NOT NULL AS accepted, ({_flags(STREAM_AUTOMATON.final)})[state + 1] AS finished, least(32, n)::INT AS stored FROM (SELECT *, coalesce(last_value(lead IGNORE NULLS) OVER w, {START})::INT AS state, count(lead) OVER w AS n FROM (SELECT user_id, event_id, event_type, {_TO} AS lead FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))")
 def stream_guide(spark, sf_dir):
-    """Events of each user as a stream of tokens; the result is the table the stream has filled."""
+    """Events of each user as a stream of tokens; the result is the table of files that the stream has written."""
     import uuid
 
+    from .sources.scratch import scratch_root
     from .streaming.guide_stream import guide_stream
 
-    kinds = ("click", "view", "purchase", "error", "signup")
-    vocab = Vocabulary(90, {k[0] + str(i): [i] for i, k in enumerate(kinds)}, spark)
-    index = Index(f"({'|'.join(k[0] + str(i) for i, k in enumerate(kinds[:3]))})*", vocab)
+    vocab = Vocabulary(90, {t: [i] for t, i in STREAM_TOKENS.items()}, spark)
+    index = Index(STREAM_PATTERN, vocab)
     path = f"{sf_dir}/events.parquet"
-    number = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(i)) for i, k in enumerate(kinds)], F.lit(99)).cast("long")
+    number = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(i)) for i, k in enumerate(STREAM_KINDS)], F.lit(99)).cast("long")
     parts = path.rsplit("/", 1)
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", parts[1]).parquet(parts[0])
-    rows = events.select("user_id", "event_id", number.alias("token_id"))
-    name = f"guides_{uuid.uuid4().hex}"
-    writer = guide_stream(rows, index, vocab, "user_id", "event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    running = (writer.option("checkpointLocation", f"{shared}/{name}") if shared else writer).start()
+    followed = guide_stream(events.select("user_id", "event_id", number.alias("token_id")), index, vocab, "user_id", "event_id")
+    where = f"{scratch_root(spark)}/latticework/guides-{uuid.uuid4().hex}"
+    running = followed.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).select(F.col("key").alias("user_id"), F.col("at").alias("event_id"), "token_id", "state", "accepted", "finished", "stored")
+    return spark.read.schema(followed.schema).parquet(f"{where}/rows").select(F.col("key").alias("user_id"), F.col("at").alias("event_id"), "token_id", "state", "accepted", "finished", "stored")
 
 
 PROPS = regex_from_value(key({"type": "integer"}))

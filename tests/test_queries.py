@@ -35,7 +35,3 @@ def test_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
-
-def test_stream_query(spark):
-    got = entry.queries()["stream_guide"](spark, FOLDER)
-    assert got.count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()

@@ -2,7 +2,10 @@ import copy
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from latticework import Vocabulary, errors
+from latticework.functions import tokens as T
 
 
 @pytest.fixture
@@ -65,3 +68,13 @@ def test_comparing_and_copying(vocabulary, spark):
 def test_saving(vocabulary, spark, tmp_path):
     vocabulary.save(str(tmp_path / "v"))
     assert Vocabulary.load(str(tmp_path / "v"), spark) == vocabulary
+
+
+def test_byte_level_reads_every_symbol_and_spells_every_text(spark):
+    symbols = T.byte_symbols()
+    rows = [(c, b) for c, b in symbols.items()] + [(c, None) for c in (" ", "€", "\xad", "a\0")]
+    got = spark.createDataFrame(rows, "c string, b int").select("c", "b", T.byte_level(F.col("c")).alias("x")).collect()
+    assert all((None if r.b is None else bytes([r.b])) == (r.x and bytes(r.x)) for r in got) and len(symbols) == 256
+    texts = ["Où est\n\x00\t\U0001f600€ü", "", None, "".join(map(chr, range(300)))]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] if r[0] is None else bytes(r[0]).decode() for r in frame.select(T.byte_level(T.spell_byte_level(F.col("t")))).collect()] == texts
