@@ -53,36 +53,81 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert gain > 0.75 * math.log10(2)  # one bit a word is there to be gained, less what sparse classes cost
 
 
-def test_score_is_the_models_product(spark):
-    """The same model, word by word."""
-    rows = class_rows(n=60)
-    got = {r.doc_id: r.score for r in op.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    counts = Counter(t for d, x in rows if not op.held_out(d) for t in [*words(x), None])
+@pytest.mark.parametrize("sweeps, core", [(1, 1024), (1, 20), (2, 20)])
+def test_score_is_the_models_product(spark, sweeps, core, monkeypatch):
+    """The same model, word by word: units, exchange, each word's move by its own contexts, and the product."""
+    monkeypatch.setattr(op, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(op, "FAN", 3)
+    # Endings tell nothing here.
+    rows = [(d, " ".join(f"{w[0]}{int(w[1:-1]):04d}z" for w in x.split())) for d, x in class_rows(n=80)]
+    k = 7
     import xxhash
 
-    ranked = sorted((t for t in counts if t is not None), key=lambda t: (-counts[t], (h := xxhash.xxh64_intdigest(t.encode())) - (1 << 64 if h >> 63 else 0)))[: op.CORE]
+    digest = lambda t: (h := xxhash.xxh64_intdigest(t.encode())) - (1 << 64 if h >> 63 else 0)
+    counts = Counter(t for d, x in rows if not op.held_out(d) for t in [*words(x), None])
+    ranked = sorted((t for t in counts if t is not None), key=lambda t: (-counts[t], digest(t)))[: op.CORE]
+    if core < op.CORE:  # fewer core words, so that most words are moved
+        chosen = np.array([digest(t) for t in ranked[:core]], np.int64).view(np.uint64)
+        monkeypatch.setattr(op, "Units", lambda found, plain=op.Units: plain(chosen))
+        ranked = ranked[:core]
+    got = {r.doc_id: r.score for r in op.score(spark.createDataFrame(rows, "doc_id long, text string"), classes=k, word_sweeps=sweeps).collect()}
     unit = {t: i for i, t in enumerate(ranked)}
-    of = lambda t: op.END_UNIT if t is None else unit.get(t, op.CORE + zlib.crc32(t.encode()[-op.TAIL :]) % op.ENDINGS)
-    bigrams, tokens, types = np.zeros((op.UNITS, op.UNITS)), np.zeros(op.UNITS), np.zeros(op.UNITS)
-    for d, x in rows:
-        if not op.held_out(d):
-            us = [op.END_UNIT, *map(of, [*words(x), None])]
-            for p, q in zip(us, us[1:], strict=False):
-                bigrams[p, q] += 1
+    of = lambda t: op.END_UNIT if t is None else unit.get(t, op.CORE + zlib.crc32(t[-op.TAIL :].encode()) % op.ENDINGS)
+    bigrams = np.zeros((op.UNITS, op.UNITS))
+    training = [[None, *words(x), None] for d, x in rows if not op.held_out(d)]
+    for x in training:
+        for p, q in zip(x, x[1:], strict=False):
+            bigrams[of(p), of(q)] += 1
+    units = op.exchange(bigrams, k)
+    every = {t for _, x in rows for t in [*words(x), None]}
+    cls = {t: int(units[of(t)]) for t in every}
+
+    def table():
+        out = np.zeros((k, k))
+        for x in training:
+            for p, q in zip(x, x[1:], strict=False):
+                out[cls[p], cls[q]] += 1
+        return out
+
+    for _ in range(sweeps):
+        t = table() + 0.5
+        gains = {}
+        for x in training:
+            for p, w, q in zip(x, x[1:], x[2:], strict=False):
+                mine = gains.setdefault(w, np.zeros(k))
+                for c in range(k):
+                    mine[c] += math.log(t[cls[p], c]) + math.log(t[c, cls[q]]) - math.log(t[c].sum()) - math.log(t[:, c].sum())
+        cls |= {w: int(np.argmax(np.round(g[: k - 1], 6))) for w, g in gains.items() if w not in unit}
+    moved = sum(cls[t] != units[of(t)] for t in every)
+    assert moved > 20 if core < 1024 else moved == 0
+    tokens, types = np.zeros(k), np.zeros(k)
     for t, c in counts.items():
-        tokens[of(t)] += c
-        types[of(t)] += 1
-    model = op.Model(bigrams, tokens, types)
+        tokens[cls[t]] += c
+        types[cls[t]] += 1
+    model = op.Model(table(), tokens, types)
     for d, x in rows:
-        total, before = 0.0, model.of[op.END_UNIT]
+        total, before = 0.0, k - 1
         for t in [*words(x), None]:
-            c = model.of[of(t)]
+            c = cls[t]
             total += model.transition[before, c]
-            total += math.log10((counts[t] + 1) / (model.tokens[c] + model.types[c] + 1)) if t is not None else 0
+            total += math.log10((counts[t] + 1) / (tokens[c] + types[c] + 1)) if t is not None else 0
             before = c
         assert got[d] == pytest.approx(total)
 
 
+def test_rows_follow_the_words_and_not_the_shards():
+    """A block has a row for each shard that its words fall into, however many there are."""
+    block = op._Block()
+    block.add(1, b"a few words of one text and a few more")
+    names = op._names(op.BLOCKS)
+    batch = op.pa.RecordBatch.from_arrays([op.pa.array([x], t) for x, t in zip(block.row("b"), op._BLOCK_TYPES, strict=True)], names)
+    first = lambda r, digests: (np.zeros(len(digests), np.uint8), np.zeros(len(digests), bool))
+    for shards in (1, 3, 10**9):
+        (out,) = op._send(shards, first, 3)([batch])
+        assert out.num_rows <= min(shards, 9)
+        assert sum(len(op._unpack(x, np.uint64)) for x in out.column("digests").to_pylist()) == 9  # the end among them
+
+
 def test_exchange_finds_planted_classes_and_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 40)
