@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, release, slices, texts, texts_of
 
 FOLDS, HELD_OUT = 7, 2
-CORE, ENDINGS, CLASSES, SWEEPS, WORD_SWEEPS = 1024, 256, 96, 6, 1
+CORE, ENDINGS, CLASSES, SWEEPS, WORD_SWEEPS = 1024, 256, 48, 6, 1
 #: Last letters of a word that its group hashes.
 TAIL = 3
 #: Tokens after which a block is closed, entries of a shard on average, blobs that are summed up at a time, and the most frequent words that a block proposes for the core.

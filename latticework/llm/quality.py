@@ -165,7 +165,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     n = docs.count()
     if not n:
         return spark.createDataFrame([], RESULT)
-    voted = materialize(vote(docs, id_col, text_col), "votes", most_rows=n)
+    voted = materialize(vote(docs, id_col, text_col), "votes")
     patterns = sorted((r["code"], r["count"]) for r in voted.groupBy("code").count().collect())  # at most 3^7
     codes, counts = (np.array(x) for x in zip(*patterns, strict=True))
     _, prior, post = accuracies(ballots(codes), counts)
