@@ -1,7 +1,9 @@
 import re
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from latticework.llm import mixing as op
@@ -71,16 +73,97 @@ def test_taken(spark, block):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
-def test_shards_get_every_slot_once_and_mixed_sources(spark):
+def spark_hash(*values):
+    """xxhash64 of the values as Spark takes it: each with the hash before as its seed; nulls leave it."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, Int) else "<q", v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Int(int):
+    """A number that Spark holds as an int."""
+
+
+def network(x, n, *seed):
+    for i in range(op.ROUNDS):
+        partner = (spark_hash(*seed, Int(i)) % n - x) % n
+        if spark_hash(*seed, Int(i), max(x, partner)) % 2 == 1:
+            x = partner
+    return x
+
+
+@pytest.mark.parametrize("block, shard", [(8, 16), (64, 1024)])
+def test_taken_against_brute_force(spark, block, shard, monkeypatch):
+    """Every document's words and first shard: layout, targets, draws, permutations and the cut, one at a time."""
+    monkeypatch.setattr(op, "SHARD_SLOTS", shard)
+    monkeypatch.setattr(op, "CHUNK", 16)
+    rows = [(r[0], r[1], r[3]) for r in cases.rows(n=150) if r[0] is not None]
+    sums = defaultdict(int)
+    for _, t, source in rows:
+        sums[source] += size(t)
+    want_targets = brute_targets(sums)
+    name = lambda s: "2" if s is None else "1" + s
+    chunks = max(1, len(rows) // 16)
+    slots_of, pieces = {}, {}
+    for source in sums:
+        at = 0
+        mine = [r for r in rows if r[2] == source]
+        for i, (doc, text, _) in enumerate(sorted(mine, key=lambda r: (spark_hash(r[0], spark_hash(r[1])) % chunks, r[0], size(r[1]), spark_hash(r[1])))):
+            pieces[source, i] = (doc, size(text), at)
+            at += size(text)
+        n_blocks, left, k, own = -(-at // block), int(want_targets[source] + 0.5), 0, []
+        while left > 0:
+            b = network(k % n_blocks, n_blocks, name(source), k // n_blocks)
+            held = min(block, at - b * block)
+            own.append((b, min(held, left)))
+            left, k = left - held, k + 1
+        slots_of[source] = own
+    order = sorted(slots_of, key=name)
+    line = [s for s in order for _ in slots_of[s]]
+    drawn, shards = defaultdict(list), -(-len(line) // shard)
+    for i in range(len(line)):
+        s = line[spark_hash("draw", i // shard, i % shard) % len(line)]
+        if len(drawn[s]) < len(slots_of[s]):
+            drawn[s].append(i // shard)
+    taken, first = defaultdict(int), {}
+    for s in order:
+        drawn[s] += [shards - 1] * (len(slots_of[s]) - len(drawn[s]))
+        for (b, takes), where in zip(slots_of[s], drawn[s], strict=True):
+            for key, (_, n, at) in pieces.items():
+                words = min(at + n, b * block + takes) - max(at, b * block) if key[0] == s else 0
+                if words > 0:
+                    taken[key] += words
+                    first[key] = min(first.get(key, shards), where)
+    got = op.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block).collect()
+    want = [(doc, n, sums[key[0]], taken[key], first.get(key)) for key, (doc, n, _) in pieces.items()]
+    assert Counter((r.doc_id, r.size, r.source_size, r.taken, r.first_shard) for r in got) == Counter(want)
+    assert shards == 1 or len({r.first_shard for r in got}) > shards // 2
+
+
+def test_shards_get_every_slot_once_and_multinomial_counts(spark):
     frame = spark.createDataFrame([("1a", 300_000, 450_000.0), ("1b", 300_000, 300_000.0), ("1c", 300_000, 600_000.0)], "s string, source_size long, target double")
-    placed = op.slots(op.plan(frame, 64), 64)
-    rows = placed.collect()
-    assert sorted(r.position for r in rows) == list(range(len(rows)))
-    full = [r for r in op.shard_counts(placed).collect() if (r.shard + 1) * op.SHARD_SLOTS <= len(rows)]
-    for r in full:
-        expected = op.SHARD_SLOTS * {"1a": 1 / 3, "1b": 2 / 9, "1c": 4 / 9}[r.s]
-        assert abs(r.n - expected) < 5 * expected**0.5
-    assert len({r.n for r in full if r.s == "1a"}) > 3
+    planned = op.plan(frame, 64)
+    rows = op.slots(planned, 64).collect()
+    of = {r.s: r.slots for r in planned.collect()}
+    assert Counter((r.s, r.k) for r in rows) == Counter((s, k) for s, n in of.items() for k in range(n))
+    counts = Counter((r.shard, r.s) for r in rows)
+    last = max(r.shard for r in rows)
+    for s, share in (("1a", 1 / 3), ("1b", 2 / 9), ("1c", 4 / 9)):
+        own = [counts[i, s] for i in range(last - 1)]
+        expected = op.SHARD_SLOTS * share
+        assert all(abs(c - expected) < 5 * expected**0.5 for c in own)
+        assert len(set(own)) > 3
+
+
+def test_running_sums(spark):
+    rows = spark.range(5000).selectExpr("concat('s', id % 3) s", "id div 3 at", "id % 7 v")
+    got = op.running(rows, "at", "v", "before").collect()
+    sums = defaultdict(int)
+    for r in sorted(got, key=lambda r: r.at):
+        assert r.before == sums[r.s]
+        sums[r.s] += r.v
 
 
 def test_mix_holds_the_words_taken(spark):
