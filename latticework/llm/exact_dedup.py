@@ -1,18 +1,21 @@
 """Exact duplicates by a minimal perfect hash over historical distinct digests.
 
-The history is a table of distinct SHA-256 digests with the locator of the row that won (largest ``doc_id``).
+The history is a table of distinct SHA-256 digests with the locator of the row that won (largest ``doc_id``): what earlier runs left, or, where there
+are none, the older rows of the table itself, up to its median doc_id.
 It is cut into shards by digest prefix. In each shard a hash-and-displace minimal perfect hash maps its n digests
 to n slots: a digest's bucket names a seed, and ``xxhash64(digest, seed) mod n`` is its slot. Two tables hold it:
 
 * buckets ``(shard, bucket, n_slots, seed)``: the displacement seeds,
-* slots ``(shard, slot, slot_digest, winner, group_size)``: the whole digest and the winner's locator.
+* slots ``(shard, slot, slot_digest, winner, winner_uid, group_size)``: the whole digest and the winner's locator.
+
+The newer rows are looked up. Those of known digests are summed up by slot and renew its winner and count, so a slot is as good as if all rows had been in the
+history; the digests that are not in it are grouped on their own. Then every row is given the verdict of its slot or of its group.
 
 A lookup is two equi-joins, so any hot digest is split by Spark's skew join, and it ends by comparing all 32 bytes of the
-digest; a digest outside the history that happens to hit a slot is therefore never mistaken. Nonmembers are
-grouped by digest on their own. Nothing is collected but two counts.
+digest; a digest outside the history that happens to hit a slot is therefore never mistaken. Nothing is collected but a few counts.
 
-Defined cases: null text is the empty text; a null ``doc_id`` loses against any other; rows that repeat
-``doc_id`` and text are one group of which exactly one row stays; an empty table gives an empty result; further columns
+Defined cases: null text is the empty text; very long texts are digested whole; a null ``doc_id`` loses against any other and counts as old; rows that repeat
+``doc_id`` and text, or tie in it, are one group of which exactly one row stays; an empty table gives an empty result; further columns
 of the input are kept by :func:`deduplicate` and ignored by :func:`verdicts`.
 """
 
@@ -31,6 +34,8 @@ from .common import materialize, signed, slices, texts, texts_of
 
 #: Digests in a shard on average: what one task builds a hash for.
 SHARD_KEYS = 16_384
+#: Tasks that build an index at least, where there are as many shards, and rows of a file of it.
+LEAST_TASKS, FILE_ROWS = 64, 200_000
 #: Digests in a bucket on average.
 BUCKET_KEYS = 4
 #: Seeds that are tried for a bucket; digests of a bucket that finds none stay out of the index and are grouped with the nonmembers.
@@ -115,12 +120,13 @@ def build_index(history: DataFrame) -> tuple[DataFrame, int]:
     """The minimal perfect hash of ``history`` (digest, winner, winner_uid, group_size; digests distinct), as one table of seed rows and slot rows, and its number of shards."""
     n = history.count()
     shards = max(1, -(-n // SHARD_KEYS))
-    built = history.withColumn("shard", _shard(F.col("digest"), shards)).groupBy("shard").applyInArrow(_build, INDEX)
-    return materialize(built, "mph", most_rows=2 * n), shards
+    # Tasks follow the shards, and files, where there are many, their rows.
+    dealt = history.withColumn("shard", _shard(F.col("digest"), shards)).repartition(max(min(shards, LEAST_TASKS), -(-2 * n // FILE_ROWS)), "shard")
+    return materialize(dealt.groupBy("shard").applyInArrow(_build, INDEX), "mph"), shards
 
 
 def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """``rows`` with winner, winner_uid and group_size from the index; null where the digest isn't in it."""
+    """``rows`` with shard, slot, winner, winner_uid and group_size from the index; winner and size are null where the digest isn't in it."""
     seeds = index.filter("bucket is not null").select(F.col("shard").alias("b_shard"), F.col("bucket").alias("b_bucket"), "n_slots", "seed")
     sizes = index.filter("bucket = 0").select(F.col("shard").alias("s_shard"), F.col("n_slots").alias("s_slots"))
     slots = index.filter("slot is not null").select(F.col("shard").alias("t_shard"), F.col("slot").alias("t_slot"), "slot_digest", "winner", "winner_uid", "group_size")
@@ -128,19 +134,35 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     at = at.withColumn("bucket", _bucket(F.col("digest"), F.col("s_slots"))).join(seeds, (F.col("shard") == F.col("b_shard")) & (F.col("bucket") == F.col("b_bucket")), "left")
     at = at.withColumn("slot", F.pmod(F.xxhash64("digest", "seed"), F.col("n_slots")))
     hit = (F.col("shard") == F.col("t_shard")) & (F.col("slot") == F.col("t_slot")) & (F.col("digest") == F.col("slot_digest"))
-    return at.join(slots, hit, "left").select(*rows.columns, "winner", "winner_uid", "group_size")
+    return at.join(slots, hit, "left").select(*rows.columns, "shard", "slot", "winner", "winner_uid", "group_size")
+
+
+def renew(index: DataFrame, found: DataFrame) -> DataFrame:
+    """The index with the winners and counts of ``found``, rows that :func:`lookup` has given their slots."""
+    sums = found.groupBy(F.col("shard").alias("u_shard"), F.col("slot").alias("u_slot")).agg(F.max(F.struct("doc_id", "uid")).alias("w"), F.count("*").alias("n"))
+    both = index.join(sums, (F.col("shard") == F.col("u_shard")) & (F.col("slot") == F.col("u_slot")), "left")
+    won = F.greatest(F.struct(F.col("winner").alias("doc_id"), F.col("winner_uid").alias("uid")), F.col("w"))
+    return both.withColumn("won", won).select(
+        "shard", "bucket", "n_slots", "seed", "slot", "slot_digest", F.col("won.doc_id").alias("winner"), F.col("won.uid").alias("winner_uid"), (F.col("group_size") + F.coalesce("n", F.lit(0))).alias("group_size")
+    )
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", history: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest.
 
     ``history`` (digest, winner, winner_uid, group_size) may come from earlier runs, with winner_uid -1: its members then all
-    go. Without one the table's own distinct digests are the history.
+    go, with the earlier run's winner and count. Without one the table's older rows are the history and its newer ones renew it.
     """
     rows = materialize(digests(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "digests")
-    own = history is None
-    index, shards = build_index(distinct_digests(rows) if own else history)
-    found = lookup(rows, index, shards)
+    if history is None:
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        old = F.col("doc_id").isNull() | (F.col("doc_id") <= F.lit(middle).cast("long"))
+        index, shards = build_index(distinct_digests(rows.filter(old)))
+        known = lookup(rows.filter(~old), index, shards).filter("group_size is not null")
+        index = materialize(renew(index, known), "mph-renewed")
+    else:
+        index, shards = build_index(history)
+    found = materialize(lookup(rows, index, shards), "looked-up")
     members = found.filter("group_size is not null")
     rest = found.filter("group_size is null").select("doc_id", "digest", "uid")
     alone = distinct_digests(rest).withColumnRenamed("digest", "g_digest")

@@ -6,11 +6,12 @@ table at least. m grows with the number of distinct fingerprints, so that the ke
 
 Groups that share a key are never paired off in full. Equal fingerprints are one node. Each key group first links its
 members to its least member; after these links are joined into components, only groups that still hold several
-components are looked at again, and there each member outside the group's commonest component is held against the
-rest. Every pair within d bits either lies in one component already or is found then, so no link is lost.
+components are looked at again. Those with many members outside their commonest component are split by further blocks: the members of a group agree on its key, so close
+pairs differ in the remaining bits alone, and agree on some blocks of these by the same argument. What is left is small, and
+there each member outside the commonest component is held against the rest. Every pair within d bits either lies in one component already or is found then, so no link is lost.
 
 Defined cases: null or wordless text has fingerprint 0 and links like any other; fewer words than a shingle give one
-shingle of all words; null ``doc_id`` rows take part, and a component's id is its least non-null one; an empty table
+shingle of all words; very long texts are hashed whole, ``AT_ONCE`` shingles at a time; a bit that is set in just half the hashes is 0; rows that repeat have one fingerprint and one component; null ``doc_id`` rows take part, and a component's id is its least non-null one; an empty table
 gives an empty result; further columns are ignored by :func:`groups` and kept by :func:`deduplicate`.
 """
 
@@ -74,17 +75,59 @@ def _blocks(n: int, bits: int) -> int:
     return m
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _choices(places: list[int], m: int, bits: int) -> list[int]:
+    """Bit positions cut into m blocks; a mask for each choice of m - bits of these."""
+    edges = [round(len(places) * i / m) for i in range(m + 1)]
+    blocks = [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [_signed(sum(some)) for some in itertools.combinations(blocks, m - bits)]
+
+
 def _masks(m: int, bits: int) -> list[int]:
-    edges = [round(64 * i / m) for i in range(m + 1)]
-    blocks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(m)]
-    masks = [sum(some) for some in itertools.combinations(blocks, m - bits)]
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in masks]
+    return _choices(list(range(64)), m, bits)
+
+
+def _finer(mask: int, bits: int) -> list[int]:
+    """Masks that split a group whose members agree on ``mask``: choices among the bits that are left."""
+    places = [p for p in range(64) if not mask >> p & 1]
+    return _choices(places, min(bits + 2, len(places)), bits) if len(places) > bits else [0]
 
 
 def _close(a: str, b: str, bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
+#: Members outside the commonest component from which on a key group is split by further blocks.
+SPLIT = 64
+
+
+def _linked(held: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """``held`` with the roots that links between roots (a, b) lead to."""
+    found = components(links, most)
+    return held.join(found.withColumnRenamed("root", "__to"), held["root"] == found["node"], "left").withColumn("root", F.coalesce("__to", "root")).select(held.columns)
+
+
+def _pairs(open_: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """(a, b): the roots of close members of groups, each member outside the commonest component against all others."""
+    left = open_.filter("root <> commonest").select(*keys, F.col("fp").alias("l_fp"), F.col("root").alias("l_root"))
+    right = open_.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("fp").alias("r_fp"), F.col("root").alias("r_root"))
+    near = (F.col("l_root") != F.col("r_root")) & _close("l_fp", "r_fp", bits)
+    for k in keys:
+        near = (F.col(k) == F.col(f"r_{k}")) & near
+    return left.join(right.hint("merge"), near).select(F.least("l_root", "r_root").alias("a"), F.greatest("l_root", "r_root").alias("b")).distinct()
+
+
+def _open(held: DataFrame, keys: list[str]) -> DataFrame:
+    """The members of groups with several components: keys, fp, root, commonest, outside (how many are in others)."""
+    per = held.groupBy(*keys, "root").count()
+    top = F.max_by("root", F.struct("count", "root"))
+    mixed = per.groupBy(*keys).agg(top.alias("commonest"), (F.sum("count") - F.max("count")).alias("outside")).filter("outside > 0")
+    return held.select(*keys, "fp", "root").join(mixed, keys)
+
+
 def labels(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     """(node, root): the component of each of the distinct fingerprints ``fp`` that isn't its component's least."""
     n = distinct.count()
@@ -98,15 +141,25 @@ def labels(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     held = members.join(first, members["fp"] == first["node"], "left").select("t", "k", "fp", F.coalesce("root", "fp").alias("root"))
     held = materialize(held, "held", most_rows=most)
     release(members)
-    per = held.groupBy("t", "k", "root").count()
-    mixed = per.groupBy("t", "k").agg(F.max_by("root", F.struct("count", "root")).alias("commonest"), F.count("*").alias("n")).filter("n > 1").select("t", "k", "commonest")
-    open_ = materialize(held.join(mixed, ["t", "k"]), "open", most_rows=most)
-    left = open_.filter("root <> commonest").select("t", "k", F.col("fp").alias("l_fp"), F.col("root").alias("l_root"))
-    right = open_.select(F.col("t").alias("r_t"), F.col("k").alias("r_k"), F.col("fp").alias("r_fp"), F.col("root").alias("r_root"))
-    near = (F.col("t") == F.col("r_t")) & (F.col("k") == F.col("r_k")) & (F.col("l_root") != F.col("r_root")) & _close("l_fp", "r_fp", bits)
-    more = left.join(right.hint("merge"), near).select(F.least("l_root", "r_root").alias("a"), F.greatest("l_root", "r_root").alias("b")).distinct()
-    linked = components(more, most)
-    release(open_)
+    open_ = materialize(_open(held, ["t", "k"]), "open", most_rows=most)
+    links = _pairs(open_.filter(F.col("outside") <= SPLIT), ["t", "k"], bits)
+    large = open_.filter(F.col("outside") > SPLIT)
+    written = []
+    if not large.isEmpty():
+        # Finer keys within the large groups, linked to their least members first, as above.
+        finer = F.element_at(F.array(*[F.array(*[F.lit(x) for x in _finer(mask, bits)]) for mask in masks]), F.col("t") + 1)
+        split = large.select("t", "k", "fp", "root", F.posexplode(finer).alias("u", "mask")).withColumn("v", F.col("fp").bitwiseAND(F.col("mask"))).drop("mask")
+        keys = ["t", "k", "u", "v"]
+        hubs = split.groupBy(*keys).agg(F.min(F.struct("fp", "root")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").drop("low", "high")
+        inner = materialize(split.join(hubs, keys).select(*keys, "fp", "root", F.col("hub.fp").alias("h_fp"), F.col("hub.root").alias("h_root")), "finer")
+        near = materialize(inner.filter("root <> h_root").filter(_close("fp", "h_fp", bits)).select(F.least("root", "h_root").alias("a"), F.greatest("root", "h_root").alias("b")).distinct(), "finer-links")
+        now = materialize(_linked(inner.select(*keys, "fp", "root"), near, most), "finer-held")
+        rest = _pairs(_open(now, keys), keys, bits)
+        # Roots that these links name may be roots no more, but they are nodes of the same components.
+        links = links.unionByName(near).unionByName(rest)
+        written = [inner, near, now]
+    linked = components(links, most)
+    release(open_, *written)
     second = linked.select(F.col("node").alias("s_node"), F.col("root").alias("s_root"))
     nodes = held.select("fp", "root").distinct()
     both = nodes.join(second, nodes["root"] == second["s_node"], "left").select(F.col("fp").alias("node"), F.coalesce("s_root", "root").alias("root"))

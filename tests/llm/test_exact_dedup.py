@@ -48,3 +48,22 @@ def test_history_members_go_and_nonmembers_are_grouped(spark):
 def test_empty(spark):
     assert op.verdicts(cases.table(spark).limit(0)).count() == 0
     assert op.deduplicate(cases.table(spark).limit(0)).count() == 0
+
+
+def test_newer_rows_renew_slots_or_are_grouped(spark, monkeypatch):
+    """Texts in the older half only, in the newer half only, and in both, over several shards."""
+    monkeypatch.setattr(op, "SHARD_KEYS", 7)
+    data = [(i, f"old {i % 30}") for i in range(100)] + [(100 + i, f"old {i % 40}" if i % 2 else f"new {i % 24}") for i in range(100)] + [(None, "old 3"), (None, "new 2"), (None, "none")]
+    seen = {}
+    monkeypatch.setattr(op, "renew", lambda index, found, plain=op.renew: seen.setdefault("renewed", plain(index, seen.setdefault("found", found))))
+    got = op.verdicts(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    groups = defaultdict(list)
+    for doc, text in data:
+        groups[hashlib.sha256(text.encode()).digest()].append(doc)
+    for r in got:
+        ids = groups[bytes(r.digest)]
+        assert (r.keep_id, r.group_size) == (max((i for i in ids if i is not None), default=None), len(ids))
+        assert r.kept == (r.doc_id == r.keep_id)
+    old = {t for i, t in data if i is None or i <= 99}
+    assert seen["renewed"].filter("slot is not null").count() == len(old)  # new texts that no old row has are in no slot
+    assert 0 < seen["found"].count() == sum(t in old for i, t in data if i is not None and i > 99) < 100

@@ -139,7 +139,7 @@ def test_taken_against_brute_force(spark, block, shard, monkeypatch):
     got = op.taken(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block).collect()
     want = [(doc, n, sums[key[0]], taken[key], first.get(key)) for key, (doc, n, _) in pieces.items()]
     assert Counter((r.doc_id, r.size, r.source_size, r.taken, r.first_shard) for r in got) == Counter(want)
-    assert shards == 1 or len({r.first_shard for r in got}) > shards // 2
+    assert len({r.first_shard for r in got}) > min(shards, 50) // 2
 
 
 def test_shards_get_every_slot_once_and_multinomial_counts(spark):

@@ -94,3 +94,52 @@ def test_deduplicate_keeps_other_texts_of_the_same_or_no_id(spark):
     rows = [(1, text), (None, text + " x"), (None, alone[0]), (None, alone[1]), (7, text + " y"), (7, alone[2]), (7, alone[3])]
     got = op.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3], rows[5], rows[6]], key=str)
+
+
+def test_a_family_that_shares_a_key_is_split(spark, monkeypatch):
+    """20,000 fingerprints with one key: every link is found, and far fewer pairs are compared than the family has."""
+    rng = random.Random(5)
+    mask = op._masks(6, 4)[0]
+    fixed = rng.getrandbits(64) & mask
+    fps = {fixed | (rng.getrandbits(64) & ~mask) for _ in range(19_000)}
+    chained = list(fps)[:500]
+    for x in chained:
+        for b in rng.sample([p for p in range(64) if not mask >> p & 1], rng.randint(1, 5)):
+            x ^= 1 << b
+        fps.add(x)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    compared = []
+    plain = op._pairs
+
+    def counting(open_, keys, bits):
+        compared.append(open_.filter("root <> commonest").groupBy(*keys).count().join(open_.groupBy(*keys).agg(op.F.count("*").alias("n")), keys).selectExpr("coalesce(sum(count * n), 0)").first()[0])
+        return plain(open_, keys, bits)
+
+    monkeypatch.setattr(op, "_pairs", counting)
+    got = {r.node: r.root for r in op.labels(spark.createDataFrame([(sign(x),) for x in fps], "fp long")).collect()}
+    assert sum(compared) < 200 * len(fps) < len(fps) ** 2 / 90
+    # Brute force over buckets of the free bits: pairs within 4 bits share one of 5 parts of these.
+    free = [p for p in range(64) if not mask >> p & 1]
+    parts = [sum(1 << p for p in free[i::5]) for i in range(5)]
+    buckets = {}
+    for x in fps:
+        for part in parts:
+            buckets.setdefault((part, x & part), []).append(x)
+    label = {x: x for x in fps}
+
+    def find(x):
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for some in buckets.values():
+        for i, x in enumerate(some):
+            for y in some[:i]:
+                if (x ^ y).bit_count() <= 4:
+                    label[find(x)] = find(y)
+    families = {}
+    for x in fps:
+        families.setdefault(find(x), []).append(sign(x))
+    want = {x: min(f) for f in families.values() for x in f if x != min(f)}
+    assert len(want) > 300 and got == want
