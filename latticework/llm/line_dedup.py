@@ -1,17 +1,21 @@
 """Recurring lines by a log-template tree, with DataFrame functions only.
 
-A line is parsed as logs are: words with digits are variable fields and become ``<*>``; the tree has a fixed depth, its levels are the number
-of words and the ``LEADING`` words; a leaf's templates keep the words that its lines agree on. To find these without
-comparing lines, the words after the leading ones are dealt into ``SEGMENTS`` runs, and a line of ``GENERAL_WORDS`` words or more stands
-under one exact template and under one template for each run with that run left variable. Two lines of a leaf that differ in
-one run therefore share a template. A template recurs if it stands in two documents or more; its lines stay in the least doc_id
-and are dropped everywhere else. Short lines and templates of nearly nothing but variables are never dropped.
+A line is parsed as logs are. Words with digits are variable fields and become ``<*>``. The tree has a fixed depth: its levels are the number of words, the
+``LEADING`` words, and one run of the others. For that, the words after the leading ones are dealt into ``SEGMENTS`` runs; each of these runs that several
+lines of the same length and leading words share, at the same place, is a node, and a line goes to the node that most lines share (of equals, the first run). A
+leaf has one template: at each place the word that more than half of its lines hold, else a variable, whatever the field. Its lines are those that
+agree with all its words, and it counts if ``CONSTANT`` of its places, or more, hold words. Above this stand the two plain templates of every line: the line itself,
+however short, and the line with its digit fields masked, if half its words are left.
+
+A template recurs if it stands in two documents or more; its lines stay in the least document and are dropped everywhere else. Lines without words are never dropped.
 
 Counting keeps the least and greatest document of a template, summed up before the shuffle; decisions go back by joins, whose hot
-keys Spark splits. The words of a document meet again only with its own dropped lines.
+keys Spark splits. Plain templates are told apart by 128 bits, words of a leaf by 64, at their places within lines that already agree in length, leading words and
+a run; within one document lines are known by 64 bits. The lines of a document meet again only as its own sorted list of dropped ones, which each line is
+looked up in by halving.
 
-Defined cases: null text is the empty text, one empty line; a document is what shares a doc_id, null being one id, after all others; lines that
-repeat within a document only are kept; rows that repeat lose the same lines; an empty table gives an empty result; further columns are kept by
+Defined cases: null text is the empty text, one empty line; very long texts are read whole, and lines of any length are parsed; a document is what shares a doc_id, null being one id, after all others; lines that
+repeat within a document only are kept; of lines whose documents tie none goes; rows that repeat lose the same lines; an empty table gives an empty result; further columns are kept by
 :func:`drop_lines`.
 """
 
@@ -20,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize
+from .common import WORD, documents, materialize, release
 
 LEADING = 2
 SEGMENTS = 4
-#: Fewest words of a line that can be dropped, of one that is generalised, and of what is constant in a template.
-LEAST_WORDS, GENERAL_WORDS, LEAST_CONSTANT = 5, 8, 4
+#: Fewest words of a line that goes down the tree.
+GENERAL_WORDS = 8
+#: Least share of a leaf's places that hold words.
+CONSTANT = 0.75
 VARIABLE = "<*>"
 LAST_ID = (1 << 63) - 1
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -35,49 +41,86 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _templates(words: Column, masked: Column) -> Column:
-    """Hashes of the templates of one line. Its words are hashed once, by runs; templates are hashes of these. Only masked lines have variables to count."""
-    n = F.size(words)
-    edges = [F.lit(LEADING).cast("int"), *((F.lit(LEADING) + F.floor((n - LEADING) * i / SEGMENTS)).cast("int") for i in range(1, SEGMENTS)), n]
-    runs = [F.slice(words, F.lit(1), edges[0]), *(F.slice(words, a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False))]
-    hashes = F.array(*[F.xxhash64(r) for r in runs])
-    constant = F.when(masked, F.array(*[F.size(F.filter(r, lambda w: w != VARIABLE)) for r in runs]))
-
-    def keys(h: Column, c: Column) -> Column:
-        enough = lambda leave: c.isNull() | (sum((F.get(c, F.lit(j)) for j in range(1, SEGMENTS + 1) if j != leave), F.get(c, F.lit(0))) >= LEAST_CONSTANT)
-        hashed = lambda leave: F.xxhash64(F.lit(leave), n, *[F.get(h, F.lit(j)) for j in range(SEGMENTS + 1) if j != leave])
-        return F.array(F.when(enough(-1), hashed(-1)), *[F.when((n >= GENERAL_WORDS) & enough(j), hashed(j)) for j in range(1, SEGMENTS + 1)])
-
-    both = F.array(F.struct(hashes.alias("h"), constant.alias("c")))
-    found = F.flatten(F.transform(both, lambda x: keys(x["h"], x["c"])))
-    return F.when(n >= LEAST_WORDS, F.filter(found, lambda k: k.isNotNull())).otherwise(F.array().cast("array<bigint>"))
+def _document(docs: DataFrame) -> tuple[Column, Column]:
+    """What orders a document's rows among all, and what tells its texts apart: null ids are one document, but no one group of rows."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)), F.xxhash64(docs["text"])
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """(d, line, keys): each document's distinct lines as hashes, with their templates."""
-    each = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("d"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("text"))
-    each = each.filter(F.length("text") >= 2 * LEAST_WORDS - 1)
+def parsed(docs: DataFrame) -> DataFrame:
+    """(d, tie, line, plain, words): each text's distinct lines as hashes, their plain templates, and hashes of the masked words of those that go down the tree."""
+    d, tie = _document(docs)
+    each = docs.select(d.alias("d"), tie.alias("tie"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("text"))
+    each = each.filter(F.col("text").rlike(WORD))
     digits = F.col("text").rlike("[0-9]")
     words = F.regexp_extract_all(F.when(digits, F.regexp_replace("text", FIELD, VARIABLE)).otherwise(F.col("text")), F.lit(WORD), F.lit(0))
     # What is used several times is an element of an array of one, so that the planner can't copy it into each use.
     once = F.array(F.struct(words.alias("w"), digits.alias("m")))
-    return each.select("d", F.xxhash64("text").alias("line"), F.flatten(F.transform(once, lambda x: _templates(x["w"], x["m"]))).alias("keys"))
+    key = lambda kind, x: F.struct(F.xxhash64(F.lit(kind), x).alias("a"), F.xxhash64(x, F.lit(kind)).alias("b"))
+    kept = lambda x: 2 * F.size(F.filter(x["w"], lambda w: w != VARIABLE)) >= F.size(x["w"])
+    both = F.transform(once, lambda x: F.struct(F.when(x["m"] & kept(x), key("masked", x["w"])).alias("t"), F.when(F.size(x["w"]) >= GENERAL_WORDS, F.transform(x["w"], lambda w: F.xxhash64(w))).alias("w")))
+    out = each.select("d", "tie", F.xxhash64("text").alias("line"), key("line", F.col("text")).alias("exact"), F.element_at(both, 1).alias("x"))
+    return out.select("d", "tie", "line", F.filter(F.array("exact", "x.t"), lambda k: k.isNotNull()).alias("plain"), F.col("x.w").alias("words"))
+
+
+def _nodes(words: Column) -> Column:
+    """The node of each run: length, leading words, the run's number and words."""
+    n = F.size(words)
+    edges = [(F.lit(LEADING) + F.floor((n - LEADING) * i / SEGMENTS)).cast("int") for i in range(SEGMENTS + 1)]
+    lead = F.slice(words, 1, LEADING)
+    return F.array(*[F.xxhash64(n, lead, F.lit(i), F.slice(words, a + 1, b - a)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+
+
+def leaves(lists: DataFrame) -> DataFrame:
+    """(words, first) from (words, first, last), distinct lists of words with their least and greatest document: the lists of recurring leaf templates, with the template's least document."""
+    id_ = F.xxhash64("words", F.lit("list"))
+    runs = lists.select(F.struct(F.xxhash64("words").alias("a"), id_.alias("b")).alias("id"), "first", "last", F.posexplode(_nodes(F.col("words"))).alias("j", "node"))
+    shared = runs.groupBy("node").agg(F.count("*").alias("n"), F.min("first").alias("f"), F.max("last").alias("l")).filter("n > 1 and f < l").select(F.col("node").alias("s_node"), "n")
+    best = runs.join(shared, F.col("node") == F.col("s_node")).groupBy("id").agg(F.max_by("node", F.struct("n", -F.col("j"))).alias("node"))
+    anchored = lists.withColumn("l_id", F.struct(F.xxhash64("words").alias("a"), id_.alias("b"))).join(best, F.col("l_id") == F.col("id")).select("node", "words", "first", "last")
+    anchored = materialize(anchored, "anchored")
+    members = anchored.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("node").alias("m_node"), "m")
+    counts = anchored.select("node", F.posexplode("words").alias("p", "w")).groupBy("node", "p", "w").agg(F.count("*").alias("c"))
+    common = counts.join(members, F.col("node") == F.col("m_node")).filter("2 * c > m").groupBy("node").agg(F.collect_list(F.struct("p", "w")).alias("template"))
+    common = common.withColumn("fixed", F.size(F.filter("template", lambda x: x["w"] != F.xxhash64(F.lit(VARIABLE))))).withColumnRenamed("node", "t_node")
+    fits = anchored.join(common, F.col("node") == F.col("t_node")).filter(F.col("fixed") >= CONSTANT * F.size("words")).filter(F.forall("template", lambda x: F.get(F.col("words"), x["p"]) == x["w"]))
+    fits = materialize(fits.select("node", "words", "first", "last"), "fitting")
+    firsts = fits.groupBy("node").agg(F.min("first").alias("f"), F.max("last").alias("l")).filter("f < l").select(F.col("node").alias("f_node"), "f")
+    return fits.join(firsts, F.col("node") == F.col("f_node")).select("words", F.col("f").alias("first"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
-    """(d, lines): the hashes of the lines that each document loses."""
-    found = materialize(templates(docs), "templates").select("d", "line", F.explode("keys").alias("key"))
-    recurring = found.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").select(F.col("key").alias("r_key"), "first")
-    lost = found.join(recurring, (F.col("key") == F.col("r_key")) & (F.col("d") > F.col("first"))).select("d", "line").distinct()
-    return lost.groupBy("d").agg(F.collect_list("line").alias("lines"))
+    """(d, tie, lines): the hashes of the lines that each text loses, sorted."""
+    found = materialize(parsed(docs), "lines")
+    plain = found.select("d", "tie", "line", F.explode("plain").alias("key"))
+    recurring = plain.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").select(F.col("key").alias("r_key"), "first")
+    lost = plain.join(recurring, (F.col("key") == F.col("r_key")) & (F.col("d") > F.col("first"))).select("d", "tie", "line")
+    deep = found.filter("words is not null")
+    lists = materialize(deep.groupBy("words").agg(F.min("d").alias("first"), F.max("d").alias("last")), "word-lists")
+    general = materialize(leaves(lists).select(F.col("words").alias("g_words"), "first"), "leaves")
+    release(lists)
+    more = deep.join(general, (F.col("words") == F.col("g_words")) & (F.col("d") > F.col("first"))).select("d", "tie", "line")
+    return lost.unionByName(more).groupBy("d", "tie").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+#: Powers of two, greatest first: the steps of a search by halving.
+POWERS = [1 << i for i in range(30, -1, -1)]
+
+
+def _listed(x: Column, ordered: Column) -> Column:
+    """Whether ``x`` is in a sorted array, in as many steps as its length has bits."""
+    bits = F.length(F.bin(F.size(ordered)))
+    steps = F.slice(F.array(*[F.lit(p) for p in POWERS]), F.lit(len(POWERS) + 1) - bits, bits)
+    upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(ordered)) & (F.get(ordered, at + step - 1) <= x), at + step).otherwise(at))
+    return F.coalesce(F.get(ordered, upto - 1) == x, F.lit(False))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines dropped from ``text``, and __n_lines, __n_dropped."""
-    gone = dropped(docs.select("doc_id", "text")).withColumnRenamed("lines", "__lines").withColumnRenamed("d", "__d")
-    joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == gone["__d"], "left")
+    gone = dropped(docs.select("doc_id", "text")).select(F.col("d").alias("__d"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
+    d, tie = _document(docs)
+    joined = docs.join(gone, (d == gone["__d"]) & (tie == gone["__tie"]), "left")
     every = _lines(F.col("text"))
-    kept = F.when(F.col("__lines").isNull(), every).otherwise(F.filter(every, lambda x: ~F.array_contains(F.col("__lines"), F.xxhash64(x))))
+    kept = F.when(F.col("__lines").isNull(), every).otherwise(F.filter(every, lambda x: ~_listed(F.xxhash64(x), F.col("__lines"))))
     out = joined.withColumn("__kept", kept).withColumn("__n_lines", F.size(every).cast("long")).withColumn("__n_dropped", F.col("__n_lines") - F.size("__kept"))
     return out.withColumn("text", F.array_join("__kept", "\n")).select(*docs.columns, "__n_lines", "__n_dropped")
 
@@ -93,19 +136,37 @@ WITH lines AS (
   SELECT doc_id, i, line, coalesce(doc_id, 9223372036854775807) AS d
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
 ), parsed AS (
-  SELECT DISTINCT d, line, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS words FROM lines
+  SELECT DISTINCT d, line, regexp_matches(line, '[0-9]') AS m, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w FROM lines
 ), sized AS (
-  SELECT d, line, words, len(words) AS n FROM parsed WHERE len(words) >= 5
-), spread AS (
-  SELECT d, line, n, words, unnest([-1, 0, 1, 2, 3]) AS s FROM sized
-), keyed AS (
-  SELECT d, line, n, s, CASE WHEN s < 0 THEN words ELSE words[1:2 + (n - 2) * s // 4] || words[2 + (n - 2) * (s + 1) // 4 + 1:] END AS rest FROM spread WHERE s < 0 OR n >= 8
-), counted AS (
-  SELECT d, line, n, s, rest FROM keyed WHERE len(list_filter(rest, lambda w: w <> '<*>')) >= 4
+  SELECT d, line, m, w, len(w) AS n FROM parsed WHERE len(w) > 0
+), plain AS (
+  SELECT d, line, 'line' AS kind, [line] AS key FROM sized
+  UNION ALL SELECT d, line, 'masked', w FROM sized WHERE m AND 2 * len(list_filter(w, lambda x: x <> '<*>')) >= n
 ), recurring AS (
-  SELECT n, s, rest, min(d) AS first FROM counted GROUP BY ALL HAVING min(d) < max(d)
+  SELECT kind, key, min(d) AS first FROM plain GROUP BY ALL HAVING min(d) < max(d)
+), lists AS (
+  SELECT w, n, min(d) AS first, max(d) AS last FROM sized WHERE n >= 8 GROUP BY w, n
+), runs AS (
+  SELECT w, n, first, last, j, w[1:2] AS lead, w[2 + (n - 2) * j // 4 + 1:2 + (n - 2) * (j + 1) // 4] AS run FROM (SELECT *, unnest([0, 1, 2, 3]) AS j FROM lists)
+), shared AS (
+  SELECT n, lead, j, run, count(*) AS c FROM runs GROUP BY ALL HAVING count(*) > 1 AND min(first) < max(last)
+), anchored AS (
+  SELECT w, n, first, last, lead, j, run FROM runs JOIN shared USING (n, lead, j, run) QUALIFY row_number() OVER (PARTITION BY w ORDER BY c DESC, j) = 1
+), members AS (
+  SELECT n, lead, j, run, count(*) AS m FROM anchored GROUP BY ALL HAVING count(*) > 1
+), places AS (
+  SELECT n, lead, j, run, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM anchored
+), common AS (
+  SELECT n, lead, j, run, p, word FROM places JOIN members USING (n, lead, j, run) GROUP BY n, lead, j, run, m, p, word HAVING 2 * count(*) > m
+), templates AS (
+  SELECT n, lead, j, run, list({'p': p, 'word': word}) AS template FROM common GROUP BY n, lead, j, run HAVING count(*) FILTER (word <> '<*>') >= 0.75 * n
+), fits AS (
+  SELECT anchored.* FROM anchored JOIN templates USING (n, lead, j, run) WHERE len(list_filter(template, lambda x: w[x.p] <> x.word)) = 0
+), leaves AS (
+  SELECT w, f AS first FROM fits JOIN (SELECT n, lead, j, run, min(first) AS f FROM fits GROUP BY ALL HAVING min(first) < max(last)) USING (n, lead, j, run)
 ), lost AS (
-  SELECT DISTINCT d, line FROM counted JOIN recurring USING (n, s, rest) WHERE d > first
+  SELECT d, line FROM plain JOIN recurring USING (kind, key) WHERE d > first
+  UNION SELECT d, line FROM sized JOIN leaves USING (w) WHERE d > first
 )
 SELECT lines.doc_id, count(*) AS n_lines, count(lost.line) AS n_dropped,
        length(coalesce(string_agg(lines.line, chr(10) ORDER BY i) FILTER (lost.line IS NULL), '')) AS n_chars,

@@ -7,29 +7,60 @@ from latticework.llm import line_dedup as op
 from . import cases
 
 
-def keys(line):
-    words = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
-    n = len(words)
-    if n < 5:
-        return
-    for s in range(-1, 4):
-        if s >= 0 and n < 8:
-            break
-        rest = words if s < 0 else words[: 2 + (n - 2) * s // 4] + words[2 + (n - 2) * (s + 1) // 4 :]
-        if sum(w != "<*>" for w in rest) >= 4:
-            yield n, s, tuple(rest)
+def masked(line):
+    return tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+
+
+def plain(line):
+    words = masked(line)
+    if words:
+        yield line
+        if "<*>" in words and 2 * sum(w != "<*>" for w in words) >= len(words):
+            yield words
+
+
+def leaf_firsts(lists):
+    """{words: least document} of the lists of recurring leaf templates; ``lists`` has the documents of each list."""
+    nodes, anchored, out = defaultdict(set), defaultdict(set), {}
+    of = lambda w, j: (len(w), w[:2], j, w[2 + (len(w) - 2) * j // 4 : 2 + (len(w) - 2) * (j + 1) // 4])
+    for w in lists:
+        if len(w) >= 8:
+            for j in range(4):
+                nodes[of(w, j)].add(w)
+    for w in {w for ws in nodes.values() for w in ws}:
+        good = [(len(nodes[of(w, j)]), -j) for j in range(4) if len(nodes[of(w, j)]) > 1 and len(set().union(*(lists[x] for x in nodes[of(w, j)]))) > 1]
+        if good:
+            anchored[of(w, -max(good)[1])].add(w)
+    for node, ws in anchored.items():
+        if len(ws) < 2:
+            continue
+        template = {}
+        for p in range(node[0]):
+            for x in {w[p] for w in ws}:
+                if 2 * sum(w[p] == x for w in ws) > len(ws):
+                    template[p] = x
+        if sum(x != "<*>" for x in template.values()) < 0.75 * node[0]:
+            continue
+        fits = [w for w in ws if all(w[p] == x for p, x in template.items())]
+        docs = set().union(*(lists[w] for w in fits)) if fits else set()
+        if len(docs) > 1:
+            out |= {w: min(docs) for w in fits}
+    return out
 
 
 def brute(rows):
-    where = defaultdict(set)
+    where, lists = defaultdict(set), defaultdict(set)
     for doc, text in rows:
+        d = op.LAST_ID if doc is None else doc
         for line in (text or "").split("\n"):
-            for k in keys(line):
-                where[k].add(op.LAST_ID if doc is None else doc)
+            for k in plain(line):
+                where[k].add(d)
+            lists[masked(line)].add(d)
+    firsts = leaf_firsts(lists)
     for doc, text in rows:
         d = op.LAST_ID if doc is None else doc
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not any(min(where[k]) < d for k in keys(x))]
+        kept = [x for x in lines if not any(min(where[k]) < d for k in plain(x)) and firsts.get(masked(x), d) >= d]
         yield doc, "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
@@ -52,7 +83,7 @@ def corpus(seed=1, n=120):
 
 
 def check(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as d", "'x' as line", "2 as keys")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as d", "'x' as line", "2 as tie", "3 as words")
     got = sorted(((r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in op.drop_lines(docs).collect()), key=str)
     assert got == sorted(brute(rows), key=str)
     return got
@@ -68,7 +99,7 @@ def test_awkward_rows(spark):
     rows = [r[:2] for r in cases.rows()] + [(700, same), (701, same + "\n" + same), (None, same), (702, "short line here"), (703, "short line here"), (704, "1 2 3 4 5 6 7 8 9"), (705, "2 3 4 5 6 7 8 9 1")]
     got = {r[0]: r for r in check(spark, rows)}
     assert got[700][3] == 0 and got[701][3] == 2
-    assert got[703][3] == got[705][3] == 0
+    assert got[703][3] == 1 and got[705][3] == 0  # short lines recur too; a line of nothing but fields doesn't, unless it is the same
     assert op.drop_lines(cases.table(spark).limit(0)).count() == 0
 
 
@@ -79,3 +110,34 @@ def test_planted_passages_go_and_clean_lines_stay(spark):
     assert [i for i in got if long in got[i]] == [7]
     clean = [(i, cases.sentence(random.Random(i), 80)) for i in range(100)]
     assert all(r[3] == 0 for r in check(spark, clean))
+
+
+def test_leaves_generalise_any_field(spark):
+    """Names, places and numbers change in three of four runs; the template is found, and lines that merely share its beginning stay."""
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, f"Session opened for user {name()} from the host {name()} by the usual daemon after {rng.randrange(99)} tries in {name()} mode today") for i in range(40)]
+    rows += [(100 + i, "Session opened " + " ".join(name() for _ in range(17))) for i in range(40)]
+    rows += [(200 + i, f"{name()}\nThe end {i}\n" + rows[3][1].split(" by ")[0]) for i in range(5)]
+    got = {r[0]: r for r in check(spark, rows)}
+    assert [got[i][3] for i in range(40)] == [0] + [1] * 39
+    assert all(got[100 + i][3] == 0 for i in range(40))
+
+
+def test_dropped_lines_are_found_by_halving(spark):
+    values = sorted(random.Random(1).sample(range(-(10**9), 10**9), 100))
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        some = values[:n]
+        frame = spark.createDataFrame([(x, some) for x in [*values, 10**10, -(10**10)]], "x long, o array<long>")
+        assert all(r.hit == (r.x in some) for r in frame.select("x", op._listed(op.F.col("x"), op.F.col("o")).alias("hit")).collect())
+
+
+def test_sql_against_brute_force(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = list(corpus(seed=8, n=200))
+    connection = duckdb.connect()
+    connection.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = connection.execute(op.ORACLE).fetchall()
+    assert sorted(r[:3] for r in got) == sorted((d, n, k) for d, _, n, k in brute(rows))
