@@ -19,15 +19,20 @@ def plain(line):
             yield words
 
 
+def runs(w):
+    edges = [2 + (len(w) - 2) * i // 16 for i in range(17)]
+    return [w[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def leaf_firsts(lists):
     """{words: least document} of the lists of recurring leaf templates; ``lists`` has the documents of each list."""
     nodes, anchored, out = defaultdict(set), defaultdict(set), {}
-    of = lambda w, j: (len(w), w[:2], j, w[2 + (len(w) - 2) * j // 4 : 2 + (len(w) - 2) * (j + 1) // 4])
-    for w in lists:
-        if len(w) >= 8:
-            for j in range(4):
-                nodes[of(w, j)].add(w)
-    for w in {w for ws in nodes.values() for w in ws}:
+    of = lambda w, j: (len(w), w[:2], j, tuple(runs(w)[4 * j : 4 * j + 4]))
+    deep = [w for w in lists if len(w) >= 8 and 2 * sum(x != "<*>" for x in w) >= len(w)]
+    for w in deep:
+        for j in range(4):
+            nodes[of(w, j)].add(w)
+    for w in deep:
         good = [(len(nodes[of(w, j)]), -j) for j in range(4) if len(nodes[of(w, j)]) > 1 and len(set().union(*(lists[x] for x in nodes[of(w, j)]))) > 1]
         if good:
             anchored[of(w, -max(good)[1])].add(w)
@@ -35,13 +40,13 @@ def leaf_firsts(lists):
         if len(ws) < 2:
             continue
         template = {}
-        for p in range(node[0]):
-            for x in {w[p] for w in ws}:
-                if 2 * sum(w[p] == x for w in ws) > len(ws):
+        for p in range(16):
+            for x in {runs(w)[p] for w in ws}:
+                if 2 * sum(runs(w)[p] == x for w in ws) > len(ws):
                     template[p] = x
-        if sum(x != "<*>" for x in template.values()) < 0.75 * node[0]:
+        if 2 + sum(map(len, template.values())) < 0.75 * node[0]:
             continue
-        fits = [w for w in ws if all(w[p] == x for p, x in template.items())]
+        fits = [w for w in ws if all(runs(w)[p] == x for p, x in template.items())]
         docs = set().union(*(lists[w] for w in fits)) if fits else set()
         if len(docs) > 1:
             out |= {w: min(docs) for w in fits}
@@ -83,7 +88,7 @@ def corpus(seed=1, n=120):
 
 
 def check(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as d", "'x' as line", "2 as tie", "3 as words")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as d", "'x' as line", "2 as tie", "3 as leaf", "4 as n", "5 as runs")
     got = sorted(((r.doc_id, r.text, r["__n_lines"], r["__n_dropped"]) for r in op.drop_lines(docs).collect()), key=str)
     assert got == sorted(brute(rows), key=str)
     return got
