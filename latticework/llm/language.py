@@ -58,13 +58,15 @@ SLACK = 2.0
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts in a row, and where each text's begin. Two spaces after each text keep its trigrams its own."""
+    """Hashed trigrams of all texts in a row, and where each text's begin. Two spaces end each text; what begins at these would see the next text and is code 0."""
     joined = np.frombuffer(b"".join([t.lower() + b"  " for t in texts]) + b"  ", np.uint8).astype(np.uint32)
     three = (joined[:-2] << np.uint32(16)) | (joined[1:-1] << np.uint32(8)) | joined[2:]
     lengths = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
     telling = TELLING[joined]
     three = np.where(telling[:-2] & telling[1:-1] & telling[2:], three, np.uint32(0))
-    return (three * np.uint32(2654435761)) >> np.uint32(32 - BITS), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+    ends = np.cumsum(lengths)
+    three[np.concatenate((ends - 2, ends - 1))] = 0
+    return (three * np.uint32(2654435761)) >> np.uint32(32 - BITS), np.concatenate(([0], ends[:-1])).astype(np.int64)
 
 
 def evidence(docs: DataFrame, text: Column, declared: Column | None = None, address: Column | None = None, host: Column | None = None) -> DataFrame:
