@@ -84,11 +84,13 @@ def structure(codes: np.ndarray) -> np.ndarray:
 
 
 def trigrams(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all texts in a row, where each text's begin, and how many there are."""
+    """Hashed byte trigrams of all texts in a row, where each text's begin, and how many there are. Two zero bytes end each text; what begins at these is code 0, whatever follows."""
     joined = np.frombuffer(b"".join([t + b"\0\0" for t in some]) + b"\0\0", np.uint8).astype(np.uint32)
     three = (joined[:-2] << np.uint32(16)) | (joined[1:-1] << np.uint32(8)) | joined[2:]
     lengths = np.fromiter((len(t) + 2 for t in some), np.int64, len(some))
-    return (three * np.uint32(2654435761)) >> np.uint32(32 - BITS), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), lengths
+    ends = np.cumsum(lengths)
+    three[np.concatenate((ends - 2, ends - 1))] = 0
+    return (three * np.uint32(2654435761)) >> np.uint32(32 - BITS), np.concatenate(([0], ends[:-1])).astype(np.int64), lengths
 
 
 def _pick(id_col: str, text_col: str) -> Column:
