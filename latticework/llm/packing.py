@@ -33,6 +33,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces whose ranks one task works out at a time, on average.
 CHUNK = 4096
+#: Most rows of a plan that are sent to every executor, some 15 MB; a larger one, of a large capacity, is joined as any table.
+SENT_ROWS = 1 << 18
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -137,7 +139,8 @@ def assign(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = found.sparkSession
     histogram = found.groupBy("length").count().collect()  # at most ``capacity`` rows
     counts = {r["length"]: r["count"] for r in histogram}
-    placed = spark.createDataFrame(plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)], "p_length long, rank_from long, rank_to long, bin_from long, per_bin long, in_bin long")
+    planned = plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)]
+    placed = spark.createDataFrame(planned, "p_length long, rank_from long, rank_to long, bin_from long, per_bin long, in_bin long")
     chunks = max(1, sum(counts.values()) // CHUNK)
     dealt = found.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +149,7 @@ def assign(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = dealt.withColumn("place", F.row_number().over(within) - 1).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("place"))
     # The plan's size is bounded by the capacity alone: a bin class per split of a length, a row per length in it.
     at = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    joined = ranked.join(F.broadcast(placed), at)
+    joined = ranked.join(F.broadcast(placed) if len(planned) <= SENT_ROWS else placed, at)
     in_class = F.col("rank") - F.col("rank_from")
     return joined.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

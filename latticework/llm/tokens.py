@@ -44,11 +44,14 @@ class Encoder:
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             return False
-        if spec.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        if spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
             return False
         merged = [m if isinstance(m, str) else "".join(m) for m in model["merges"]]
         merged = [m.replace(" ", "") for m in merged]
         ids = [model["vocab"].get(m, -1) for m in merged]
+        # Tokens that no merge makes are never made by the library; ranks alone would make them.
+        if {t for t in model["vocab"] if len(t) > 1} - set(merged) - set(self.added):
+            return False
         return ids == sorted(ids) and -1 not in ids and len(set(ids)) == len(ids)
 
     def _ranked(self, spec: dict):

@@ -71,3 +71,10 @@ def test_whole_operator(spark):
 
 def test_empty(spark):
     assert op.pack(cases.table(spark).limit(0)).count() == 0
+
+
+def test_plans_of_any_size_give_the_same_places(spark, monkeypatch):
+    rows = lambda: sorted(op.pack(cases.table(spark)).collect(), key=str)
+    sent = rows()
+    monkeypatch.setattr(op, "SENT_ROWS", 0)
+    assert rows() == sent
