@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import class_lm, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, simhash
+from . import class_lm, conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_simhash": simhash.query,
     "op10_language_id": language.query,
+    "op11_conversation_repair": conversation_repair.query,
     "pages_language_id": language.query_pages,
     "pipeline": corpus_pipeline.run,
 }
@@ -24,4 +25,5 @@ QUERIES = {
 SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
 }

@@ -1,0 +1,140 @@
+import hashlib
+import heapq
+import random
+import re
+import zlib
+
+from latticework.llm import conversation_repair as op
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def rows(seed=3, n=60, longest=14):
+    rng = random.Random(seed)
+    texts = ["Yes.", "no", "Well, why?", " \t", "", None, "same.", "what!  ", "A.B", "ünï."]
+    out = []
+    for conv in range(n):
+        for turn in range(rng.randint(0, longest)):
+            if rng.random() < 0.9:
+                role = rng.choice(["user", "assistant"]) if rng.random() < 0.3 else ["user", "assistant"][turn % 2]
+                role = rng.choice(["system", "tool", None, ""]) if rng.random() < 0.1 else role
+                text = rng.choice(texts) if rng.random() < 0.6 else f"turn {turn} of {conv}" + rng.choice([".", "", "?"])
+                out.append((conv, turn if rng.random() < 0.95 else None, role, text))
+    out += [(None, 0, "system", "be kind."), (None, 1, "user", "hi."), (None, 3, "assistant", "hello.")]
+    out += [(900, 5, "user", "a."), (900, 5, "user", "a."), (900, 5, "assistant", "b."), (901, None, "user", "a."), (902, 1, "user", "x" * 300_000 + ".")]
+    out += [(950, i, ["user", "assistant"][i % 2], f"turn {i}.") for i in range(700)]
+    return out
+
+
+def damage(data):
+    out = []
+    for conv, turn, role, text in data:
+        spelled = ":".join(" " if x is None else str(x) for x in (conv, turn))
+        kind, role, text = zlib.crc32(spelled.encode()) % 20, " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+GRAMMAR = re.compile(r"(s?(ua)+)?")
+
+
+def could_go_on(initials):
+    return any(GRAMMAR.fullmatch(initials + more) for more in ("", "a", "ua"))
+
+
+def cheapest(turns):
+    """The cheapest edits by Dijkstra's search over (turns read, initials written), least letters first among equals."""
+    queue, seen = [(0, "", 0, "")], set()
+    while queue:
+        cost, edits, at, written = heapq.heappop(queue)
+        short = written if len(written) < 3 else written[:1] * 2 + written[-1]  # what the grammar still needs to know
+        if (at, short, edits) in seen:
+            continue
+        seen.add((at, short, edits))
+        if at == len(turns) and GRAMMAR.fullmatch(written):
+            return cost, edits, written
+        moves = [("I", 2, at, x) for x in "ua"]
+        if at < len(turns):
+            initial, fault = turns[at]
+            moves.append(("D", 3, at + 1, ""))
+            if fault not in ("blank", "duplicate"):
+                cut = fault == "truncated"
+                moves += [("R", 2 + cut, at + 1, x) for x in "ua"] + ([("K", cut, at + 1, initial)] if initial else [])
+        for letter, price, to, x in moves:
+            if could_go_on(written + x):
+                heapq.heappush(queue, (cost + price, edits + letter, to, written + x))
+
+
+def brute(data):
+    by = {}
+    for conv, *_ in data:
+        by.setdefault(conv, [])
+    for r in damage(data):
+        by[r[0]].append(r[1:])
+    out = {}
+    for conv, turns in by.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], hashlib.md5(t[2].encode()).hexdigest()))
+        faults, seen = [], set()
+        for _, role, text in turns:
+            told = re.findall(r"[^\x20\x09-\x0D]", text)
+            faults.append("blank" if not told else "duplicate" if (role, text) in seen else "truncated" if told[-1] not in ".!?" else "")
+            seen.add((role, text))
+        initials = [t[1][:1] for t in turns]
+        numbers = [t[0] for t in turns if t[0] is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        counts = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal)
+        if len(turns) <= 40:
+            cost, edits, written = cheapest(list(zip(initials, faults, strict=True)))
+            lines, at, place = [], 0, 0
+            for e in edits:
+                _, role, text = turns[at] if e != "I" else (None, None, "")
+                at += e != "I"
+                if e != "D":
+                    lines.append((role if e == "K" else {"u": "user", "a": "assistant"}[written[place]]) + ":" + text)
+                    place += 1
+            out[conv] = (*counts, cost, edits, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+        else:
+            out[conv] = counts
+    return out
+
+
+def found(spark, data, **more):
+    docs = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 as conv", "'x' as audit", "2 as seg")
+    got = op.report(docs.repartition(5)).collect()
+    assert len({r.conv_id for r in got}) == len(got)
+    return {r.conv_id: tuple(r)[1:] for r in got}
+
+
+def test_against_search(spark):
+    data = rows()
+    want, got = brute(data), found(spark, data)
+    assert want.keys() == got.keys()
+    for conv, w in want.items():
+        assert got[conv][: len(w)] == w, conv
+
+
+def test_segments_compose(spark):
+    """Runs cut into segments of three turns give what whole conversations give."""
+    made = op.damaged(spark.createDataFrame(rows(5, 40), SCHEMA))
+    whole, cut = ({r.conv: tuple(r)[1:] for r in op.repair(made, n)[0].collect()} for n in (10_000, 3))
+    assert whole == cut
+
+
+def test_layers_are_made_once_for_each_prefix(monkeypatch):
+    calls = []
+    monkeypatch.setattr(op, "following", lambda layer, turn, plain=op.following: calls.append(turn) or plain(layer, turn))
+    signatures = sorted({"^" + "ua" * i + x for i in range(20) for x in ("", "U", "x", "s")})
+    prefixes = {s[:i] for s in signatures for i in range(2, len(s) + 1)}
+    assert len(list(op.solved(iter(signatures)))) == len(signatures)
+    assert len(calls) == len(prefixes)
+
+
+def test_empty(spark):
+    assert op.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_everything_dropped(spark):
+    conv = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    assert found(spark, [(conv, 0, "user", "a.")]) == {conv: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
