@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import class_lm, conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, simhash
+from . import class_lm, conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, simhash, spelling_variants
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_simhash": simhash.query,
     "op10_language_id": language.query,
     "op11_conversation_repair": conversation_repair.query,
+    "op12_spelling_variants": spelling_variants.query,
     "pages_language_id": language.query_pages,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,4 +27,5 @@ SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op11_conversation_repair": conversation_repair.ORACLE,
+    "op12_spelling_variants": spelling_variants.ORACLE,
 }
