@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import class_lm, conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, simhash, spelling_variants
+from . import class_lm, conversation_repair, exact_dedup, fingerprints, language, line_dedup, mixing, packing, personal_data, quality, secret_scan, simhash, spelling_variants
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_language_id": language.query,
     "op11_conversation_repair": conversation_repair.query,
     "op12_spelling_variants": spelling_variants.query,
+    "op13_secret_scan": secret_scan.query,
     "pages_language_id": language.query_pages,
     "pipeline": corpus_pipeline.run,
 }
