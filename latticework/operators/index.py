@@ -1,25 +1,26 @@
 """An index is the automaton of a pattern, stepped by whole tokens of a vocabulary: edges (state, token_id, next_state) and states (state, is_final).
 
-Each distinct token is walked once from many states at the same time: an array with the state reached from each of them goes through the table byte by
-byte, and tokens of a batch that share a prefix share its arrays. Which states are reached by tokens from the start is found on the driver from the
-distinct (state, next_state) pairs, whose number the automaton bounds, not the vocabulary; then the edges of these states alone are made, once, and kept.
+The vocabulary is a table of prefix trees (``trie``), and the automaton is walked over it from the states that have been reached, frontier by frontier: the
+edges of states that were reached for the first time are written, and what they lead to is the next frontier. The driver holds the automaton and the sets of its states; edges are a table,
+sorted by state within its files.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions.tokens import bytes_of, int_array
-from ..plans.automaton import DEAD, START, Automaton, compile_pattern
+from ..plans.automaton import START, Automaton, compile_pattern
+from ..sources.scratch import delete, new_folder, written
 from ..workers import importable
+from .trie import BATCH_EDGES, Edges, blocks_of, walk_block
 from .vocabulary import Vocabulary
 
 EDGES = "state int, token_id long, next_state int"
@@ -36,87 +37,27 @@ def accepts(automaton: Automaton, text: Column) -> Column:
     return F.get(int_array(int(x) for x in automaton.final), walk(automaton, F.encode(text, "UTF-8"), F.lit(START))) == 1
 
 
-#: Rows of a batch of edges.
-BATCH_EDGES = 1 << 18
-
-
-def _walked(automaton: Automaton, starts: np.ndarray, tokens: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the token, starts, states reached) where a useful state is reached; tokens are taken in order, so that each prefix is walked once."""
-    stack, before = [starts.astype(np.int32)], b""
-    for i in sorted(range(len(tokens)), key=tokens.__getitem__):
-        token, shared = tokens[i], 0
-        while shared < min(len(token), len(before)) and token[shared] == before[shared]:
-            shared += 1
-        del stack[shared + 1 :]
-        for byte in token[shared:]:
-            stack.append(automaton.delta[stack[-1] * automaton.n_classes + automaton.classes[byte]])
-        before = token
-        live = np.flatnonzero(automaton.useful[stack[-1]])
-        if len(live):
-            yield i, starts[live], stack[-1][live]
-
-
-def _tokens(vocabulary: Vocabulary) -> DataFrame:
-    """A token one of whose ids ends the sequence is left out as a whole."""
-    return vocabulary.tokens().filter(~F.array_contains("ids", vocabulary.eos_token_id)).select("token", "ids")
-
-
-def pairs(automaton: Automaton, vocabulary: Vocabulary) -> list[tuple[int, int]]:
-    """The distinct (state, next_state) of all states and tokens."""
-    size = automaton.n_states
-    starts = np.array([s for s in range(size) if s != DEAD], np.int64)
+def steps(automaton: Automaton, tree: DataFrame, states: list[int]) -> DataFrame:
+    """(state, token_id, next_state) for the given states and each id of a token that leads to a useful one."""
+    starts = np.array(states, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        edges = Edges()
         for batch in batches:
-            for _, a, b in _walked(automaton, starts, batch.column("token").to_pylist()):
-                seen.update((a * size + b).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["pair"])
+            for row in blocks_of(batch):
+                for found in walk_block(automaton.delta, automaton.n_classes, automaton.classes, automaton.useful, starts, row):
+                    edges.add(*found)
+                    if edges.size >= BATCH_EDGES:
+                        yield edges.batch()
+        if edges.parts:
+            yield edges.batch()
 
-    importable(vocabulary.frame.sparkSession)
-    return [divmod(r["pair"], size) for r in _tokens(vocabulary).mapInArrow(run, "pair long").distinct().collect()]
+    importable(tree.sparkSession)
+    return tree.mapInArrow(run, EDGES)
 
 
-def steps(automaton: Automaton, vocabulary: Vocabulary, states: list[int]) -> DataFrame:
-    """(state, ids, next_state) for the given states and each token that leads to a useful one."""
-    starts = np.array([s for s in states if s != DEAD], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            whose, from_, to, n = [], [], [], 0
-
-            def made() -> pa.RecordBatch:
-                columns = [pa.array(np.concatenate(from_), pa.int32()), ids.take(pa.array(np.concatenate(whose), pa.int64())), pa.array(np.concatenate(to), pa.int32())]
-                return pa.RecordBatch.from_arrays(columns, ["state", "ids", "next_state"])
-
-            for i, a, b in _walked(automaton, starts, batch.column("token").to_pylist()):
-                whose.append(np.full(len(a), i, np.int64))
-                from_.append(a)
-                to.append(b)
-                n += len(a)
-                if n >= BATCH_EDGES:
-                    yield made()
-                    whose, from_, to, n = [], [], [], 0
-            if n:
-                yield made()
-
-    importable(vocabulary.frame.sparkSession)
-    return _tokens(vocabulary).mapInArrow(run, "state int, ids array<long>, next_state int")
-
-
-def reached(pairs: list[tuple[int, int]]) -> list[int]:
-    """States that the pairs lead to from the start."""
-    following: dict[int, list[int]] = {}
-    for a, b in pairs:
-        following.setdefault(a, []).append(b)
-    seen, stack = {START}, [START]
-    while stack:
-        for b in following.get(stack.pop(), ()):
-            if b not in seen:
-                seen.add(b)
-                stack.append(b)
-    return sorted(seen)
+#: States whose edges a cursor keeps at hand.
+CACHED_STATES = 256
 
 
 class Index:
@@ -125,21 +66,34 @@ class Index:
         self.regex = regex
         self.eos_token_id = vocabulary.eos_token_id
         automaton = compile_pattern(regex, **limits)
-        found = pairs(automaton, vocabulary)
-        states = reached(found)
-        leaving = {a for a, _ in found}
+        spark = vocabulary.frame.sparkSession
+        tree, shared = vocabulary.tree()
+        self._path = new_folder(spark, "edges")
+        # Frontier by frontier: the edges of states that were reached for the first time, then what these lead to.
+        seen, leaving, frontier = {START}, set(), [START]
+        waves = 0
+        while frontier:
+            found = steps(automaton, tree, frontier)
+            if shared:  # an id that stands for several tokens can have several steps from a state; the least next state is taken
+                found = found.groupBy("state", "token_id").agg(F.min("next_state").alias("next_state"))
+            wave = written(found.sortWithinPartitions("state", "token_id"), f"{self._path}/wave={waves}")
+            # The automaton bounds both sets, not the vocabulary.
+            from_, to = wave.agg(F.collect_set("state"), F.collect_set("next_state")).first()
+            leaving.update(from_)
+            frontier = sorted(set(to) - seen)
+            seen.update(frontier)
+            waves += 1
+        states = sorted(seen)
         for s in states:
             if s not in leaving and not automaton.final[s]:
+                delete(spark, self._path)
                 missing = [chr(b) if b < 128 else f"\\x{b:02x}" for b in automaton.live_bytes(s)]
                 raise errors.IncompatibleVocabulary(regex=regex, error_state=s, missing_tokens=missing)
-        spark = vocabulary.frame.sparkSession
-        kept = steps(automaton, vocabulary, states).select("state", F.explode("ids").alias("token_id"), "next_state")
-        # An id that stands for several tokens can have several steps from a state; the least next state is taken.
-        kept = kept.groupBy("state", "token_id").agg(F.min("next_state").alias("next_state"))
         self.finals = [s for s in states if automaton.final[s]]
         self.states = spark.createDataFrame([(s, bool(automaton.final[s])) for s in states], "state int, is_final boolean")
         ends = self.states.filter("is_final").select("state", F.lit(self.eos_token_id).cast("long").alias("token_id"), F.col("state").alias("next_state"))
-        self.edges = kept.unionByName(ends).persist(StorageLevel.MEMORY_AND_DISK)  # a lost executor's part is made again
+        kept = spark.read.schema(EDGES).parquet(*[f"{self._path}/wave={i}" for i in range(waves)])
+        self.edges = kept.unionByName(ends)
         self._size: int | None = None
         self._vocabulary = vocabulary
         self.automaton = automaton
@@ -147,8 +101,9 @@ class Index:
     initial_state = START
 
     def unpersist(self) -> None:
-        """Lets go of the edges that were kept; they are made again where they are read."""
-        self.edges.unpersist()
+        """Deletes the edges that were written; neither they nor what reads them can be read any more."""
+        if self._path:
+            delete(self.edges.sparkSession, self._path)
 
     @property
     def vocab_size(self) -> int:
@@ -173,18 +128,25 @@ class Index:
         """Rows of ``other`` whose state is final."""
         return other.join(self.states.filter("is_final").select(F.col("state").alias("__state")), F.col(state) == F.col("__state"), "left_semi")
 
-    # Pointwise reading, for one cursor: the edges are fetched once
+    # Pointwise reading, for cursors: a state's edges are fetched when it is visited
+
+    def _row(self, state: int) -> dict[int, int]:
+        """The edges of a state. Files are sorted by state, so that few of their pages are read; the last CACHED_STATES states stay at hand."""
+        rows = self.__dict__.setdefault("_rows", OrderedDict())
+        if state not in rows:
+            rows[state] = {r["token_id"]: r["next_state"] for r in self.edges.filter(F.col("state") == state).select("token_id", "next_state").collect()}
+            if len(rows) > CACHED_STATES:
+                rows.popitem(last=False)
+        rows.move_to_end(state)
+        return rows[state]
 
-    @cached_property
-    def _table(self) -> dict[int, dict[int, int]]:
+    def get_transitions(self) -> dict[int, dict[int, int]]:
+        """All edges, for an index that fits the driver."""
         table: dict[int, dict[int, int]] = {}
         for r in self.edges.collect():
             table.setdefault(r["state"], {})[r["token_id"]] = r["next_state"]
         return table
 
-    def get_transitions(self) -> dict[int, dict[int, int]]:
-        return {s: dict(t) for s, t in self._table.items()}
-
     def get_initial_state(self) -> int:
         return START
 
@@ -195,10 +157,10 @@ class Index:
         return state in self.finals
 
     def get_allowed_tokens(self, state: int) -> list[int] | None:
-        return sorted(self._table[state]) if state in self._table else None
+        return sorted(self._row(state)) or None
 
     def get_next_state(self, state: int, token_id: int) -> int | None:
-        return None if token_id == self.eos_token_id else self._table.get(state, {}).get(token_id)
+        return None if token_id == self.eos_token_id else self._row(state).get(token_id)
 
     def __eq__(self, other: object) -> bool:
         if not isinstance(other, Index):
@@ -211,6 +173,7 @@ class Index:
     def __deepcopy__(self, memo: dict) -> Index:
         copy = object.__new__(Index)
         copy.__dict__.update(self.__dict__)  # frames and tables never change
+        copy.__dict__.pop("_rows", None)
         return copy
 
     def __reduce__(self) -> tuple:
@@ -219,7 +182,7 @@ class Index:
         return _unpickled, (scalars, [tuple(r) for r in self.edges.collect()], [tuple(r) for r in self.states.collect()])
 
     def describe(self) -> str:
-        lines = [f"{s} -> {self._table[s]}" for s in sorted(self._table)]
+        lines = [f"{s} -> {to}" for s, to in sorted(self.get_transitions().items())]
         return "\n".join([f"Index with initial state {START}, final states {self.finals}, transitions:", *lines])
 
     __str__ = describe
@@ -231,7 +194,8 @@ class Index:
         from ..sources.saved import write
 
         scalars = {"kind": "index", "regex": self.regex, "eos_token_id": self.eos_token_id, "vocab_size": self.vocab_size, "finals": self.finals}
-        write(path, scalars, self.edges.sparkSession, edges=self.edges, states=self.states)
+        ordered = self.edges.repartitionByRange(int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "state").sortWithinPartitions("state", "token_id")
+        write(path, scalars, self.edges.sparkSession, edges=ordered, states=self.states)
 
     @classmethod
     def load(cls, path: str, spark: SparkSession | None = None) -> Index:
@@ -244,7 +208,7 @@ class Index:
     def _of(cls, scalars: dict, edges: DataFrame, states: DataFrame) -> Index:
         index = object.__new__(cls)
         index.regex, index.eos_token_id, index._size, index.finals = (scalars[k] for k in ("regex", "eos_token_id", "vocab_size", "finals"))
-        index.edges, index.states = edges, states
+        index.edges, index.states, index._path = edges, states, None
         index.automaton, index._vocabulary = compile_pattern(index.regex), None
         return index
 

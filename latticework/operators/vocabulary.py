@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .. import errors
 from ..functions.tokens import byte_fallback, byte_level
 from ..sources import tokenizer_files
+from ..sources.scratch import delete, new_folder, written
+from .trie import shared_ids, trie
 
 SCHEMA = "token binary, token_id long"
 EXPECTED = "Expected a dict with keys of type str or bytes and values of type list[int]"
@@ -79,6 +82,19 @@ class Vocabulary:
         """(token, ids): each token once, its ids in order."""
         return self.frame.groupBy("token").agg(F.array_sort(F.collect_list("token_id")).alias("ids"))
 
+    _tree: tuple[DataFrame, DataFrame, bool] | None = None
+
+    def tree(self) -> tuple[DataFrame, bool]:
+        """The table of prefix trees (see ``trie``) of all tokens none of whose ids ends the sequence, and whether an id stands for several tokens. Written once, and deleted with the vocabulary."""
+        if self._tree is None or self._tree[0] is not self.frame:
+            spark = self.frame.sparkSession
+            kept = self.tokens().filter(~F.array_contains("ids", self.eos_token_id))
+            path = new_folder(spark, "trie")
+            table = written(trie(kept, spark.sparkContext.defaultParallelism), path)
+            weakref.finalize(self, delete, spark, path).atexit = False
+            self._tree = (self.frame, table, shared_ids(self.frame))
+        return self._tree[1:]
+
     def get(self, token: str | bytes) -> list[int] | None:
         """Ids of a token, or None."""
         found = self.frame.filter(F.col("token") == F.lit(bytearray(as_bytes(token)))).select("token_id").collect()

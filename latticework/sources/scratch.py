@@ -1,10 +1,11 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables that are written there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -21,3 +22,18 @@ def scratch_root(spark: SparkSession) -> str:
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="latticework-")
     return _own
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{scratch_root(spark)}/latticework/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``: what reads it doesn't make it again, and a lost executor costs a reread."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
