@@ -1,6 +1,6 @@
 """A vocabulary as a table of prefix trees, and automata walked over it from the states that are reached.
 
-Tokens in order are cut into blocks of ``BLOCK_TOKENS``; a row of the table is the prefix tree of one block, its nodes in preorder: depth, byte, where
+Tokens in order are cut into blocks of ``BLOCK_TOKENS``; a row of the table is the prefix tree of one block and its number, its nodes in preorder: depth, byte, where
 the subtree ends, and the ids of tokens that end at nodes. A walk takes a set of states down a tree at once: at each node those
 that go on by its byte stay, and where none does, the subtree is skipped. So the work is one step for each pair of a state and a node
 that it reaches.
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,15 @@ from ..plans.automaton import DEAD
 from ..workers import importable
 
 BLOCK_TOKENS = 2048
-TRIE = "depths array<int>, bytes binary, ends array<int>, nodes array<int>, ids array<array<long>>"
-_TYPES = (pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))
+TRIE = "block long, depths array<int>, bytes binary, ends array<int>, nodes array<int>, ids array<array<long>>"
+_TYPES = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())))
 _NAMES = [x.split()[0] for x in TRIE.split(", ")]
 #: Rows of a batch of edges.
 BATCH_EDGES = 1 << 18
 
 
 def block(tokens: list[bytes], ids: list[list[int]]) -> tuple:
-    """A row of the table from tokens in order. Node 0 is the root."""
+    """A row of the table, without its number, from tokens in order. Node 0 is the root."""
     depths, data, ends, nodes = [0], bytearray(1), [0], []
     path = [0]
     before = b""
@@ -55,9 +56,12 @@ def trie(tokens: DataFrame, partitions: int, most: int = BLOCK_TOKENS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, list[int]]] = []
+        made_so_far = 0
 
         def made() -> pa.RecordBatch:
-            row = block(*map(list, zip(*held, strict=True)))
+            nonlocal made_so_far
+            row = (TaskContext.get().partitionId() << 32 | made_so_far, *block(*map(list, zip(*held, strict=True))))
+            made_so_far += 1
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], _NAMES)
 
         for batch in batches:
@@ -74,7 +78,7 @@ def trie(tokens: DataFrame, partitions: int, most: int = BLOCK_TOKENS) -> DataFr
 
 
 def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-    yield from zip(*(batch.column(name).to_pylist() for name in _NAMES), strict=True)
+    yield from zip(*(batch.column(name).to_pylist() for name in _NAMES[1:]), strict=True)
 
 
 def walk_block(delta: np.ndarray, n_classes: int, classes: np.ndarray, useful: np.ndarray, starts: np.ndarray, row: tuple) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:

@@ -5,6 +5,7 @@ The patterns are compiled once, so both sides read the same ones.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .functions import patterns as P
 from .functions import tokens as T
 from .operators.guide import follow, follow_long, rolled_back
 from .operators.index import Index, accepts, walk
+from .operators.pattern_table import PatternTable, conforms
 from .operators.vocabulary import Vocabulary
 from .plans.automaton import START, compile_pattern
 from .plans.schema_regex import regex_from_value
@@ -275,6 +277,57 @@ def automaton_state(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name").distinct().withColumn("state", walk(NAME_AUTOMATON, F.encode("p_name", "UTF-8"), F.lit(START)))
 
 
+# A table of patterns: for each size of a part, words that begin with a letter of its own. State 2 has read the letter, 4 more of them; 3 is what a late match leaves, where nothing goes on
+
+_PREFIXED = f"""tokens AS (SELECT word, token_id FROM {PART_TOKENS} WHERE regexp_full_match(word, '[a-z]+')),
+patterns AS (SELECT DISTINCT p_size AS pattern_id, chr(97 + p_size % 26) AS c FROM part),
+first AS (SELECT pattern_id, token_id, min(CASE WHEN length(word) = 1 THEN 2 ELSE 4 END) AS next_state FROM patterns JOIN tokens ON starts_with(word, c) GROUP BY 1, 2),
+again AS (SELECT DISTINCT token_id FROM tokens),
+reached AS (SELECT DISTINCT pattern_id, next_state AS state FROM first UNION SELECT pattern_id, 4 FROM first)"""
+
+
+def prefixed(spark, sf_dir) -> PatternTable:
+    patterns = table(spark, sf_dir, "part").select(F.col("p_size").alias("pattern_id"), F.concat(F.chr((97 + F.col("p_size") % 26).cast("long")), F.lit("[a-z]*")).alias("pattern"))
+    return PatternTable(patterns, part_vocabulary(spark, sf_dir))
+
+
+@query(
+    "pattern_table_edges",
+    f"""WITH {_PREFIXED} SELECT pattern_id, 1::INT AS state, token_id::BIGINT AS token_id, next_state::INT AS next_state FROM first
+        UNION ALL SELECT pattern_id, state::INT, token_id::BIGINT, 4::INT FROM reached, again UNION ALL SELECT pattern_id, state::INT, {NO_ID}::BIGINT, state::INT FROM reached""",
+)
+def pattern_table_edges(spark, sf_dir):
+    return prefixed(spark, sf_dir).edges
+
+
+@query("pattern_table_missing", f"WITH {_PREFIXED} SELECT pattern_id, 1::INT AS state, ascii(c)::INT AS byte FROM patterns WHERE pattern_id NOT IN (SELECT pattern_id FROM first)")
+def pattern_table_missing(spark, sf_dir):
+    """Letters that no token of the vocabulary begins with, by pattern."""
+    return prefixed(spark, sf_dir).missing
+
+
+# A schema for each row
+
+ROW_SCHEMAS = (
+    {"type": "object", "properties": {"k": {"type": "integer", "minDigits": 2, "maxDigits": 2}}, "required": ["k"]},
+    {"type": "object", "properties": {"k": {"enum": list(range(0, 100, 7))}}, "required": ["k"]},
+    {"type": "object", "additionalProperties": {"type": "integer"}, "maxProperties": 3},
+    {"type": "object", "properties": {"k": {"type": "string"}}, "required": ["k"]},
+    {"unknown": 1},
+)
+
+
+@query(
+    "schema_per_row",
+    f"SELECT user_id % 5 AS kind, event_type, count(*) AS n_rows, count(*) FILTER (m) AS n_match, count(m) AS n_known FROM (SELECT *, CASE user_id % 5 {' '.join(f'WHEN {i} THEN regexp_full_match(props, {text(regex_from_value(s))})' for i, s in enumerate(ROW_SCHEMAS[:4]))} END AS m FROM events) GROUP BY 1, 2",
+)
+def schema_per_row(spark, sf_dir):
+    """Each user's events are held against the schema that their row names; the last one has no pattern."""
+    kind = F.col("user_id") % len(ROW_SCHEMAS)
+    rows = table(spark, sf_dir, "events").select(kind.alias("kind"), "event_type", "props", F.element_at(F.array(*[F.lit(json.dumps(s)) for s in ROW_SCHEMAS]), (kind + 1).cast("int")).alias("schema"))
+    return conforms(rows, "schema", "props").groupBy("kind", "event_type").agg(F.count("*").alias("n_rows"), F.count_if("matches").alias("n_match"), F.count("matches").alias("n_known"))
+
+
 # Guides over conversations: a turn is a token
 
 ROLES = {"system": (1, "s"), "user": (2, "u"), "assistant": (3, "a")}
