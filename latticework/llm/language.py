@@ -2,22 +2,23 @@
 
 Four kinds of evidence meet in one posterior per document:
 
-* the text: a naive Bayes model over hashed byte trigrams, fitted on all rows of each declared language or a bounded sample of them,
+* the text: naive Bayes models over hashed byte trigrams, fitted on the distinct texts of each declared language or a bounded sample of them,
 * the declared language (the ``lang`` attribute of markup, or a column): how often each declaration goes with each language,
 * the address suffix (``de`` of ``example.de``): the same for suffixes,
 * the host: a prior that is smoothed from the whole corpus to the domain to the host.
 
 The last three are counts of text-only posteriors over all documents by grouped aggregation, joined back on their keys, and each
-document's own share is taken out before they are applied to it. A document is accepted if its text is not much unlikelier under
-every language than under none and the fused posterior reaches ``LEAST``. Only languages with ``LEAST_TRIGRAMS`` of training text
-speak in that test: of others the table is mostly smoothing, under which any text is as likely as under none. A text that declares
-one of those, or any where there is no other, needs letters alone.
+document's own share is taken out before they are applied to it. Texts fall into two halves by their hash, and each half is scored by models that the other one taught: no text, nor a copy of it, judges itself.
 
-Every declared language is one of those told apart; the model and the posteriors grow with their number.
+A declared value is a language if the halves of its texts know each other: under the other half's model a trigram has to gain ``LEARNT`` on average over a model in which all are alike, however many or few there are. Letters at random, in words, gain
+0.8 at most, from millions of trigrams, and less from fewer.
+The models, and what is carried along for each document, grow with these languages, not with what else is declared. A document is accepted if the fused posterior reaches ``LEAST`` and its text reads like some language: its mean gain has to
+lie nearer to that of the language's own texts than to that of letters at random. Where the declared value is a language, whose models the document's like may have taught, it has to lie ``NEAR`` of the way; what declares no language, or nothing, has
+taught nothing and needs ``FAR`` of it. ``DOUBT`` is what a text's trigrams have to say in all before they count against it.
 
 Defined cases: null or empty text has no text evidence and is not accepted; very long texts are read whole, a text at a time where one exceeds ``AT_ONCE``; null declaration, address or host
-contribute nothing; ties go to the commoner language, then the lesser name; rows that repeat are judged each; without any
-declared language in the table nothing is accepted; an empty table gives an empty result; further columns are kept by :func:`accepted` and ignored by
+contribute nothing; ties go to the commoner language, then the lesser name; rows that repeat are judged each; where declared values are there but none of them is a language, letters are enough; without any
+declared value in the table nothing is accepted; an empty table gives an empty result; further columns are kept by :func:`accepted` and ignored by
 :func:`identify`.
 """
 
@@ -34,10 +35,16 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, slices, small_batches, texts_of
 
 BITS = 14
-#: Rows of each declared language that the text model is fitted on: all up to this many, about as many of a commoner one.
+#: Rows of each declared value that the text model is fitted on: all up to this many, about as many of a commoner one, whose texts have the least hashes.
 SAMPLE_ROWS = 20_000
-#: Fewest letter trigrams in training of a language whose model can tell that a text is like no language: unseen trigrams must lie well below NEUTRAL - SLACK.
-LEAST_TRIGRAMS = 10_000
+#: The least mean gain, in nats a trigram, of a language's texts.
+LEARNT = 1.5
+#: Where between the two a text's gain has to lie, and the nats that a whole text may fall short of that.
+NEAR, FAR, DOUBT = 0.7, 0.4, 8.0
+#: Added to each trigram's count.
+SMOOTH = 0.02
+#: Entries of a task's counts before it passes them on.
+SUMS = 1 << 20
 #: Trigrams overlap and are no independent evidence; their log-likelihood is scaled by this.
 TEMPER = 0.2
 #: Weight, in documents, of a level's parent.
@@ -53,8 +60,6 @@ TELLING = np.array([chr(b).isalpha() or b >= 128 or b in b" \t\n\x0b\x0c\r" for
 NO_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
 #: What a trigram scores in no language at all; trigrams with digits or signs have code 0 and score this in every language.
 NEUTRAL = float(np.float32(-BITS * np.log(2)))
-#: How far below that the trigrams of an accepted text may lie on average: short texts hold rare words; letters at random lie much lower.
-SLACK = 2.0
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,54 +84,103 @@ def evidence(docs: DataFrame, text: Column, declared: Column | None = None, addr
     return frame.withColumn("domain", F.when(dotted, F.substring_index("host", ".", -2)).otherwise(F.col("host"))).withColumn("suffix", F.when(dotted, F.substring_index("host", ".", -1)))
 
 
-def fit(frame: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The languages, log P(trigram | language), and which languages have LEAST_TRIGRAMS. Only counts, at most 2^BITS a language, reach the driver."""
-    known = frame.filter("declared is not null and declared <> ''").groupBy("declared").count().orderBy(F.desc("count"), "declared").collect()
-    names = [r["declared"] for r in known]
-    number = {x: i for i, x in enumerate(names)}
-    # Thresholds of 62 bits hold at any count; a language always has one row at least in reach.
-    rest = [F.lit(x) for r in known if r["count"] > sample_rows for x in (r["declared"], max(1, (sample_rows << 62) // r["count"]))]
-    rest[1::2] = [x.cast("long") for x in rest[1::2]]
-    below = F.coalesce(F.try_element_at(F.create_map(*rest), F.col("declared")), F.lit(1 << 62)) if rest else F.lit(1 << 62)
-    sample = frame.filter("declared is not null and declared <> ''").filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < below)
+def trigrams(frame: DataFrame, sample_rows: int) -> DataFrame:
+    """(declared, half, code, n): trigrams of the distinct texts of each declared value, or of about ``sample_rows`` rows of a commoner one."""
+    own = frame.filter("declared is not null and declared <> ''").withColumn("key", text_key())
+    sizes = own.groupBy("declared").count().select(F.col("declared").alias("d"), (F.least(F.lit(1.0), sample_rows / F.col("count")) * float(1 << 62)).alias("below"))
+    sample = own.join(sizes, own["declared"] == sizes["d"]).filter(F.shiftrightunsigned("key", 2).cast("double") <= F.col("below"))
+    once = sample.groupBy("declared", "key").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {}
-        for batch in slices(batches, "text", AT_ONCE):
-            code, starts = codes(texts_of(batch.column("text")))
-            owner = np.searchsorted(starts, np.arange(len(code)), side="right") - 1
-            named = np.array([number[x] for x in batch.column("declared").to_pylist()], np.int64)[owner]
-            both, n = np.unique(named << BITS | code, return_counts=True)
-            for k, v in zip(both.tolist(), n.tolist(), strict=True):
-                sums[k] = sums.get(k, 0) + v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["k", "n"])
-
-    table = np.full((len(names), 1 << BITS), 0.02)
+        sums: dict[tuple[str, int], int] = {}
+
+        def made() -> pa.RecordBatch:
+            names, numbers = zip(*sums, strict=True)
+            both = np.array(numbers, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array((both >> BITS).astype(np.int32)), pa.array((both & (1 << BITS) - 1).astype(np.int32)), pa.array(list(sums.values()), pa.int64())], ["declared", "half", "code", "n"])
+
+        for batch in batches:
+            for part in slices([batch], "text", AT_ONCE):
+                code, starts = codes(texts_of(part.column("text")))
+                owner = np.searchsorted(starts, np.arange(len(code)), side="right") - 1
+                keys, names = np.array(part.column("key").to_pylist(), np.int64), part.column("declared").to_pylist()
+                numbered = {x: i for i, x in enumerate(dict.fromkeys(names))}
+                spelled = list(numbered)
+                kinds = np.array([numbered[x] for x in names], np.int64) << 1 | keys & 1
+                both, n = np.unique(kinds[owner] << BITS | code, return_counts=True)
+                for k, v in zip(both.tolist(), n.tolist(), strict=True):
+                    if k & (1 << BITS) - 1:
+                        place = (spelled[k >> BITS + 1], k & (2 << BITS) - 1)
+                        sums[place] = sums.get(place, 0) + v
+            if len(sums) >= SUMS:
+                yield made()
+                sums.clear()
+        if sums:
+            yield made()
+
+    found = once.mapInArrow(count, "declared string, half int, code int, n long")
+    return materialize(found.groupBy("declared", "half", "code").agg(F.sum("n").alias("n")), "trigrams")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def fit(frame: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
+    """The languages; log P(trigram | language) as [half that is scored, language, trigram]; of each [half, language] the mean gain of its texts and of letters at random; and whether anything is declared."""
+    counts = trigrams(frame, sample_rows)
+    size = float((1 << BITS) - 1)
+    totals = counts.groupBy("declared").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"all{h}") for h in (0, 1)]).withColumnRenamed("declared", "d")
+    paired = counts.groupBy("declared", "code").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)])
+    joined = paired.join(totals, paired["declared"] == totals["d"])
+    gain = [F.log((F.col(f"n{1 - h}") + SMOOTH) / (F.col(f"all{1 - h}") + SMOOTH * size)) - NEUTRAL for h in (0, 1)]
+    nothing = [F.log(SMOOTH / (F.first(f"all{1 - h}") + SMOOTH * size)) - NEUTRAL for h in (0, 1)]
+    # Of letters at random every trigram is as likely; those that the other half doesn't know count too.
+    known = [F.sum(F.when(F.col(f"n{1 - h}") > 0, gain[h])) for h in (0, 1)]
+    absent = [size - F.count_if(F.col(f"n{1 - h}") > 0) for h in (0, 1)]
+    each = joined.groupBy("declared").agg(
+        *[F.coalesce(F.sum(F.col(f"n{h}") * gain[h]) / F.greatest(F.lit(1), F.first(f"all{h}")), F.lit(0.0)).alias(f"own{h}") for h in (0, 1)],
+        *[((F.coalesce(known[h], F.lit(0.0)) + absent[h] * nothing[h]) / size).alias(f"any{h}") for h in (0, 1)],
+        (F.first("all0") + F.first("all1")).alias("n"),
+        F.least(F.first("all0"), F.first("all1")).alias("less"),
+    )
+    each = materialize(each, "gains")
+    learnt = each.filter((F.col("less") > 0) & (F.least("own0", "own1") >= LEARNT)).orderBy(F.desc("n"), "declared").collect()
+    names = [r["declared"] for r in learnt]
+    number = {x: i for i, x in enumerate(names)}
+    model = np.full((2, len(names), 1 << BITS), SMOOTH)
     if names:
-        for r in sample.select("text", "declared").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            table[r["k"] >> BITS, r["k"] & (1 << BITS) - 1] += r["n"]
-    table[:, 0] = 0
-    judges = table.sum(axis=1) - 0.02 * ((1 << BITS) - 1) >= LEAST_TRIGRAMS
-    table = np.log(np.maximum(table, 1e-9) / table.sum(axis=1, keepdims=True))
-    table[:, 0] = NEUTRAL
-    return names, table.astype(np.float32), judges
+        chosen = each.join(counts.select(F.col("declared").alias("d"), "half", "code", "n"), F.col("d") == F.col("declared")).filter(F.col("declared").isin(names))
+        for r in chosen.select("declared", "half", "code", counts["n"]).toLocalIterator():
+            model[1 - r["half"], number[r["declared"]], r["code"]] += r["n"]
+    model[:, :, 0] = 0
+    model = np.log(np.maximum(model, 1e-9) / model.sum(axis=2, keepdims=True))
+    model[:, :, 0] = NEUTRAL
+    gains = np.array([[[r[f"own{h}"], r[f"any{h}"]] for r in learnt] for h in (0, 1)]).reshape(2, len(names), 2)
+    return names, model.astype(np.float32), gains, not each.isEmpty()
 
 
-def score(frame: DataFrame, names: list[str], model: np.ndarray, judges: np.ndarray) -> DataFrame:
+def score(frame: DataFrame, names: list[str], model: np.ndarray, gains: np.ndarray) -> DataFrame:
     """Text evidence per document: scaled log-likelihoods, the text-only posterior q, and whether the text reads like any language."""
-    n_languages = len(model)
-    unjudged = {x for x, judge in zip(names, judges, strict=True) if not judge}
+    n_languages, known = len(names), set(names)
+    own, anything = gains[:, :, 0], gains[:, :, 1]
+    least = np.stack([anything + share * (own - anything) for share in (FAR, NEAR)])  # by whether the declared value is a language, half, language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", AT_ONCE):
             texts = texts_of(batch.column("text"))
-            code, starts = codes(texts)
-            sums = np.stack([np.add.reduceat(row[code], starts, dtype=np.float64) for row in model], axis=1) if texts else np.zeros((0, n_languages))
+            halves = np.array(batch.column("key").to_pylist(), np.int64) & 1
+            sums, telling = np.zeros((len(texts), n_languages)), np.zeros(len(texts), np.int64)
+            for h in (0, 1):
+                if len(these := np.flatnonzero(halves == h)):
+                    code, starts = codes([texts[i] for i in these])
+                    sums[these] = np.stack([np.add.reduceat(row[code], starts, dtype=np.float64) for row in model[h]], axis=1)
+                    telling[these] = np.add.reduceat((code != 0).astype(np.int64), starts)
             lengths = np.array([len(t) for t in texts], np.int64)
-            telling = np.add.reduceat((code != 0).astype(np.int64), starts) if texts else lengths
             lettered = np.array([len(t.translate(None, NO_LETTER)) > 0 for t in texts], bool)
-            silent = np.array([not judges.any() or x in unjudged for x in batch.column("declared").to_pylist()], bool)
-            spoken = lettered & ((sums[:, judges].max(axis=1, initial=-np.inf) - (lengths + 2) * NEUTRAL > -SLACK * telling) | (telling == 0) | silent)
+            taught = np.array([x in known for x in batch.column("declared").to_pylist()], np.int64)
+            gain = sums - (lengths + 2)[:, None] * NEUTRAL
+            spoken = lettered & ((gain - telling[:, None] * least[taught, halves] > -DOUBT).any(axis=1) | (telling == 0))
             scaled = np.where(lengths[:, None] > 0, TEMPER * (sums - sums.max(axis=1, keepdims=True)), 0.0)
             q = np.exp(scaled)
             q /= q.sum(axis=1, keepdims=True)
@@ -135,7 +189,7 @@ def score(frame: DataFrame, names: list[str], model: np.ndarray, judges: np.ndar
             lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (scaled, q)]
             yield pa.RecordBatch.from_arrays([*same, *lists, pa.array(spoken, pa.bool_())], ["doc_id", "key", "declared", "host", "domain", "suffix", "loglik", "q", "spoken"])
 
-    keyed = frame.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text", "declared", "host", "domain", "suffix")
+    keyed = frame.select("doc_id", text_key().alias("key"), "text", "declared", "host", "domain", "suffix")
     return keyed.mapInArrow(run, "doc_id long, key long, declared string, host string, domain string, suffix string, loglik array<double>, q array<double>, spoken boolean")
 
 
@@ -149,10 +203,12 @@ def identify(frame: DataFrame, sample_rows: int = SAMPLE_ROWS, least: float = LE
     """One row per row of ``frame`` (see :func:`evidence`): doc_id, key (a hash of the text), lang, p, text_lang, declared, accepted."""
     result = "doc_id long, key long, lang string, p double, text_lang string, declared string, accepted boolean"
     small_batches(frame.sparkSession)
-    names, model, judges = fit(frame, sample_rows)
+    names, model, gains, declared = fit(frame, sample_rows)
     if not names:
-        return frame.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("p"), F.lit(None).cast("string").alias("text_lang"), "declared", F.lit(False).alias("accepted"))
-    scored = materialize(score(frame, names, model, judges), "scored")
+        # No value can be told from letters at random: where any is declared, letters are enough.
+        enough = F.lit(declared) & F.coalesce(F.col("text").rlike(r"[\p{L}\x{80}-\x{10FFFF}]"), F.lit(False))
+        return frame.select(F.col("doc_id").cast("long"), text_key().alias("key"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("p"), F.lit(None).cast("string").alias("text_lang"), "declared", enough.alias("accepted"))
+    scored = materialize(score(frame, names, model, gains), "scored")
     n = len(names)
     total = np.array(scored.agg(*[F.coalesce(F.sum(F.col("q")[i]), F.lit(0.0)) for i in range(n)]).first(), float)
     known = F.when(F.col("declared").isin(names), F.col("declared"))
