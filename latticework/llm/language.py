@@ -87,9 +87,11 @@ def evidence(docs: DataFrame, text: Column, declared: Column | None = None, addr
 def trigrams(frame: DataFrame, sample_rows: int) -> DataFrame:
     """(declared, half, code, n): trigrams of the distinct texts of each declared value, or of about ``sample_rows`` rows of a commoner one."""
     own = frame.filter("declared is not null and declared <> ''").withColumn("key", text_key())
-    sizes = own.groupBy("declared").count().select(F.col("declared").alias("d"), (F.least(F.lit(1.0), sample_rows / F.col("count")) * float(1 << 62)).alias("below"))
-    sample = own.join(sizes, own["declared"] == sizes["d"]).filter(F.shiftrightunsigned("key", 2).cast("double") <= F.col("below"))
-    once = sample.groupBy("declared", "key").agg(F.first("text").alias("text"))
+    # The commoner values only, at most one for so many rows, in a written table: Spark knows its size, and texts stay where they are.
+    common = own.groupBy("declared").count().filter(F.col("count") > sample_rows)
+    common = materialize(common.select(F.col("declared").alias("d"), (sample_rows / F.col("count") * float(1 << 62)).alias("below")), "common", most_rows=1)
+    sample = own.join(common, own["declared"] == common["d"], "left").filter(F.col("below").isNull() | (F.shiftrightunsigned("key", 2).cast("double") <= F.col("below")))
+    once = sample.groupBy("key", "declared").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], int] = {}
