@@ -6,10 +6,15 @@ expression, and numpy for driver-side buffers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import importable
+
 WORD_BITS = 32
 BLOCKED = float("-inf")
 
@@ -51,6 +56,63 @@ def apply(logits: Column, mask: Column) -> Column:
     return F.transform(logits, lambda x, i: F.when(bit(mask, i), x).otherwise(F.lit(BLOCKED).cast("float")))
 
 
+# Whole masks as bytes: Spark's bitmaps, and a kernel over Arrow batches
+
+#: Bits of one of Spark's bitmaps.
+BITMAP_BITS = 1 << 15
+
+
+def bitmaps(ids: DataFrame, vocab_size: int, by: list[str], token: str = "token_id") -> DataFrame:
+    """(by..., mask): whole masks as bytes, the words of :func:`masks` in little-endian order; ids beyond the last word are left out.
+
+    Bits are set in bitmaps where the ids lie, and each key's bitmaps are merged after one shuffle.
+    """
+    size = words(vocab_size) * WORD_BITS
+    kept = ids.filter((F.col(token) >= 0) & (F.col(token) < size))
+    # Spark counts positions from 1.
+    place = F.col(token).cast("long") + 1
+    parts = [F.bitmap_construct_agg(F.when(F.bitmap_bucket_number(place) == b + 1, F.bitmap_bit_position(place))).alias(f"__part_{b}") for b in range(-(-size // BITMAP_BITS))]
+    found = kept.groupBy(*by).agg(*parts)
+    whole = F.concat(*[F.col(f"__part_{b}") for b in range(len(parts))])
+    return found.select(*by, F.substring(whole, 1, words(vocab_size) * WORD_BITS // 8).alias("mask"))
+
+
+def word_of(mask: Column, index: int) -> Column:
+    """A word of a mask of bytes, as the signed number that it is read as."""
+    spelled = F.hex(F.substring(mask, 4 * index + 1, 4))
+    unsigned = F.conv(F.concat(*[F.substring(spelled, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    return F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned).cast("int")
+
+
+def apply_batches(rows: DataFrame, logits: str, mask: str) -> DataFrame:
+    """``rows`` with -inf in the array<float> ``logits`` where the bytes ``mask`` (see :func:`bitmaps`) have no set bit, or end; without a mask nothing is allowed, null logits stay null.
+
+    A kernel over Arrow batches: bits are unpacked a row at a time, and all numbers of a batch are written at once.
+    """
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = schema.fieldNames().index(logits)
+        for batch in batches:
+            lists = batch.column(logits)
+            lengths = [0 if n is None else n for n in lists.value_lengths().to_pylist()]
+            values = np.array(lists.flatten().to_numpy(zero_copy_only=False), np.float32)
+            start = 0
+            for n, bits in zip(lengths, batch.column(mask).to_pylist(), strict=True):
+                allowed = np.unpackbits(np.frombuffer(bits or b"", np.uint8), bitorder="little")[:n].astype(bool)
+                own = values[start : start + n]
+                own[: len(allowed)][~allowed] = BLOCKED
+                own[len(allowed) :] = BLOCKED
+                start += n
+            ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=lists.is_null())
+            columns = [made if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    importable(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 # Buffers
 
 def allocate_token_bitmask(vocab_size: int) -> np.ndarray:

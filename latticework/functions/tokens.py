@@ -39,6 +39,17 @@ def byte_fallback(token: Column, space: str = " ") -> Column:
     return F.when(special, F.when(token.rlike("^<0x[0-9A-Fa-f]{2}>$"), F.unhex(F.substring(token, 4, 2)))).otherwise(F.encode(F.replace(token, F.lit(space), F.lit(" ")), "UTF-8") if space != " " else data)
 
 
+def spell_byte_fallback(text: Column, space: str = " ") -> Column:
+    """A text as tokens of a byte-fallback vocabulary: printable ASCII characters, ``space`` for a blank, and one ``<0xNN>`` for each byte of any other character."""
+
+    def spelled(c: Column) -> Column:
+        digits = F.hex(F.encode(c, "UTF-8"))
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2)), lambda i: F.concat(F.lit("<0x"), F.substr(digits, i, F.lit(2)), F.lit(">")))
+        return F.when(c == " ", F.array(F.lit(space))).when(c.rlike(r"\A[\x21-\x7E]?\z"), F.array(c)).otherwise(each)
+
+    return F.flatten(F.transform(F.split(text, ""), spelled))
+
+
 def bytes_of(token: Column) -> Column:
     """A binary column as an array of numbers; empty for the empty token."""
     digits = F.hex(token)

@@ -191,10 +191,13 @@ def decode_byte_level(spark, sf_dir):
     return words.select("word", F.lower(F.hex(T.byte_level(T.spell_byte_level(F.col("word"))))).alias("bytes"))
 
 
-@query("decode_byte_fallback", "SELECT i AS token_id, CASE WHEN i < 256 THEN printf('%02x', i) ELSE lower(hex(encode(' x' || i::VARCHAR || ' '))) END AS bytes FROM range(600) t(i)")
+@query("decode_byte_fallback", "SELECT word, lower(hex(encode(word))) AS bytes FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)")
 def decode_byte_fallback(spark, sf_dir):
-    tokens = spark.range(600).select(F.col("id").alias("token_id"), F.when(F.col("id") < 256, F.format_string("<0x%02X>", "id")).otherwise(F.concat(F.lit("▁x"), F.col("id").cast("string"), F.lit("▁"))).alias("token"))
-    return tokens.select("token_id", F.lower(F.hex(T.byte_fallback(F.col("token"), "▁"))).alias("bytes"))
+    """Every word of the documents as a byte-fallback vocabulary spells it, one token for each character or byte, and read back: the tokens' bytes in a row."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    tokens = words.select("word", F.posexplode_outer(T.spell_byte_fallback(F.col("word"), "▁")).alias("i", "token"))
+    read = tokens.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", F.lower(F.hex(T.byte_fallback(F.coalesce("token", F.lit("")), "▁"))).alias("h")))).alias("all"))
+    return read.select("word", F.array_join("all.h", "").alias("bytes"))
 
 
 # Automata and indexes over the part names' words
@@ -431,6 +434,24 @@ def guide_masks(spark, sf_dir):
     return M.mask_words(name_index(spark, sf_dir).edges, 1 << 16, ["state"])
 
 
+@query("mask_bitmaps", f"""{_EDGES}, w AS (SELECT state, (token_id // 32)::INT AS i, bit_or(1::BIGINT << (token_id % 32)::INT) AS w FROM edges WHERE token_id < 65536 GROUP BY 1, 2)
+  SELECT s.state::INT AS state, r.i::INT AS word_idx, coalesce((SELECT any_value(CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END) FROM w WHERE w.state = s.state AND w.i = r.i), 0)::INT AS word FROM (SELECT DISTINCT state FROM w) s, range(0, 2048, 64) r(i)""")
+def mask_bitmaps(spark, sf_dir):
+    """Whole masks of an index's states; every 64th word of each."""
+    whole = M.bitmaps(name_index(spark, sf_dir).edges, 1 << 16, ["state"])
+    return whole.select("state", F.explode(F.array(*[F.struct(F.lit(i).alias("word_idx"), M.word_of(F.col("mask"), i).alias("word")) for i in range(0, 2048, 64)])).alias("w")).select("state", "w.word_idx", "w.word")
+
+
+@query("mask_kernel", "SELECT vec_id, pos::INT AS pos, CASE WHEN (pos * 7 + vec_id) % 3 = 0 AND pos < 40 THEN value::DOUBLE END AS value FROM (SELECT vec_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)")
+def mask_kernel(spark, sf_dir):
+    """Each vector with a mask of its own, whose bits come from rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    ids = vectors.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("token_id")).filter("(token_id * 7 + vec_id) % 3 = 0 and token_id < 40")
+    masked = M.apply_batches(vectors.join(M.bitmaps(ids, 64, ["vec_id"]), "vec_id", "left"), "embedding", "mask")
+    rows = masked.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    return rows.select("vec_id", "pos", F.when(F.col("x") != F.lit(M.BLOCKED), F.col("x").cast("double")).alias("value"))
+
+
 # Streams
 
 
@@ -465,6 +486,50 @@ def stream_guide(spark, sf_dir):
     return spark.read.schema(followed.schema).parquet(f"{where}/rows").select(F.col("key").alias("user_id"), F.col("at").alias("event_id"), "token_id", "state", "accepted", "finished", "stored")
 
 
+#: Errors roll back, sign-ups reset, what else users do advances; so many states can be rolled back to.
+COMMAND_RING = 4
+_BACK = "1 + event_id % 3"
+
+
+@query(
+    "stream_commands",
+    f"""WITH RECURSIVE told AS (SELECT user_id, event_id, event_type, {_TO} AS lead, {_BACK} AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    run AS (
+      SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS command, NULL::BIGINT AS argument, {START} AS state, true AS accepted, []::INT[] AS before FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL
+      SELECT r.user_id, t.i, t.event_id, CASE t.event_type WHEN 'error' THEN 'back' WHEN 'signup' THEN 'reset' ELSE 'advance' END, CASE t.event_type WHEN 'error' THEN t.n WHEN 'signup' THEN NULL ELSE {_NUMBER.replace("event_type", "t.event_type")} END,
+        CASE WHEN t.event_type = 'signup' THEN {START} WHEN t.event_type = 'error' THEN CASE WHEN len(r.before) >= t.n THEN r.before[len(r.before) - t.n + 1] ELSE r.state END ELSE coalesce(t.lead, r.state) END::INT,
+        CASE WHEN t.event_type = 'error' THEN len(r.before) >= t.n ELSE t.event_type = 'signup' OR t.lead IS NOT NULL END,
+        CASE WHEN t.event_type = 'error' THEN CASE WHEN len(r.before) >= t.n THEN r.before[1:len(r.before) - t.n] ELSE r.before END WHEN t.lead IS NOT NULL THEN list_append(r.before, r.state)[-{COMMAND_RING}:] ELSE r.before END
+      FROM run r JOIN told t ON t.user_id = r.user_id AND t.i = r.i + 1)
+    SELECT user_id, event_id, command, argument::BIGINT AS argument, state::INT AS state, accepted, ({_flags(STREAM_AUTOMATON.final)})[state + 1] AS finished, len(before)::INT AS stored FROM run WHERE i > 0""",
+)
+def stream_commands(spark, sf_dir):
+    """Events of each user as commands to a guide; the result is the table of files that the stream has written."""
+    from .sources.scratch import new_folder
+    from .streaming.guide_stream import ADVANCE, BACK, RESET, STORE, command_stream
+
+    vocab = Vocabulary(90, {t: [i] for t, i in STREAM_TOKENS.items()}, spark)
+    index = Index(STREAM_PATTERN, vocab)
+    path = f"{sf_dir}/events.parquet"
+    number = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(i)) for i, k in enumerate(STREAM_KINDS)], F.lit(99)).cast("long")
+    command = F.when(F.col("event_type") == "error", BACK).when(F.col("event_type") == "signup", RESET).otherwise(ADVANCE)
+    argument = F.when(F.col("event_type") == "error", F.expr(_BACK)).when(F.col("event_type") != "signup", number)
+    parts = path.rsplit("/", 1)
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", parts[1]).parquet(parts[0])
+    commands = command_stream(events.select("user_id", "event_id", command.alias("command"), argument.alias("argument")), index, vocab, "user_id", "event_id", "command", "argument", COMMAND_RING)
+    where = new_folder(spark, "commands")
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        commands.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(commands.schema).parquet(f"{where}/rows").withColumnsRenamed({"key": "user_id", "at": "event_id"})
+
+
 PROPS = regex_from_value(key({"type": "integer"}))
 
 

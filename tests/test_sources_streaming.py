@@ -1,4 +1,5 @@
 import json
+import random
 import subprocess
 import sys
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import latticework
-from latticework import Index, Vocabulary, errors
+from latticework import Guide, Index, Vocabulary, errors
 from latticework.functions import tokens as T
 from latticework.operators.guide import follow
 from latticework.sources import tokenizer_files as files
@@ -146,6 +147,83 @@ def test_stream_agrees_with_the_fold(spark, tmp_path):
     assert [y[i].accepted for i in range(4)] == [True, False, False, True]
 
 
+def commands_into(spark, folder, name, index, vocabulary, where, **more):
+    from latticework.streaming.guide_stream import command_stream
+
+    stream = spark.readStream.schema("key string, at int, command string, argument long").parquet(str(folder))
+    told = command_stream(stream, index, vocabulary, "key", "at", "command", "argument", **more)
+    out = told.writeStream.outputMode("append").option("checkpointLocation", str(where))
+    return out.format("memory").queryName(name) if isinstance(name, str) else out.format("parquet").option("path", str(name))
+
+
+@pytest.fixture
+def store(spark):
+    from latticework.streaming.guide_stream import STORE
+
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_commands_are_what_a_cursor_does_and_outlive_a_restart(spark, tmp_path, store):
+    """Three runs of one stream from its checkpoint, each over new rows, against one cursor for each key."""
+    rng = random.Random(8)
+    vocabulary = Vocabulary(9, {"a": [1], "b": [2], "ab": [3]}, spark)
+    index = Index("(ab|b)*a?", vocabulary)
+    guides, told = {k: Guide(index, 3) for k in "xyz"}, {}
+    for run in range(3):
+        rows = [(rng.choice("xyz"), 100 * run + i, *rng.choice([("advance", rng.choice([1, 2, 3, 9, 77])), ("advance", 2), ("back", rng.randint(0, 4)), ("reset", None), ("jump", 1)])) for i in range(60)]
+        for key, at, command, argument in rows:
+            guide, accepted = guides[key], command != "jump"
+            try:
+                if command == "advance":
+                    guide.advance(argument, return_tokens=False)
+                elif command == "back":
+                    guide.rollback_state(argument)
+                elif command == "reset":
+                    guide.reset()
+            except ValueError:
+                accepted = False
+            told[key, at] = (guide.get_state(), accepted, guide.is_finished(), guide.get_allowed_rollback())
+        spark.createDataFrame(rows, "key string, at int, command string, argument long").write.mode("append").parquet(str(tmp_path / "in"))
+        commands_into(spark, tmp_path / "in", tmp_path / "out", index, vocabulary, tmp_path / "cp", max_rollback=3).trigger(availableNow=True).start().awaitTermination()
+        got = {(r.key, r["at"]): (r.state, r.accepted, r.finished, r.stored) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        assert got == told
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path, store):
+    import time
+
+    vocabulary = Vocabulary(9, {"a": [1]}, spark)
+    index = Index("a*", vocabulary)
+    put = lambda rows: spark.createDataFrame(rows, "key string, at int, command string, argument long").write.mode("append").parquet(str(tmp_path / "in"))
+    put([("x", 1, "advance", 1), ("x", 2, "advance", 1)])
+    running = commands_into(spark, tmp_path / "in", "idle", index, vocabulary, tmp_path / "cp", idle_ms=1500).trigger(processingTime="500 milliseconds").start()
+    try:
+        wait = time.time() + 60
+        while time.time() < wait and not spark.table("idle").filter("command = 'expired'").count():
+            time.sleep(0.5)
+        put([("x", 3, "back", 1), ("x", 4, "advance", 1)])
+        while time.time() < wait and spark.table("idle").filter("at >= 3").count() < 2:
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    got = [(r["at"], r.command, r.accepted, r.stored) for r in spark.table("idle").collect()]
+    assert got[:5] == [(1, "advance", True, 1), (2, "advance", True, 2), (None, "expired", True, 0), (3, "back", False, 0), (4, "advance", True, 1)]
+
+
+def test_byte_fallback_spells_and_reads_every_text(spark):
+    texts = ["Où ▁ <0x41> €\U0001f600\n", "", None, "".join(map(chr, range(300)))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.posexplode(T.spell_byte_fallback(F.col("t"), "▁")).alias("n", "token"))
+    got = {}
+    for r in frame.select("i", "n", T.byte_fallback(F.col("token"), "▁").alias("b")).orderBy("i", "n").collect():
+        got[r.i] = got.get(r.i, b"") + bytes(r.b)
+    assert got == {i: t.encode() for i, t in enumerate(texts) if t is not None}
+
+
 def test_package():
     for name in latticework.__all__:
         assert hasattr(latticework, name)
