@@ -28,8 +28,6 @@ from .common import WORD, documents, materialize, release
 
 LEADING = 2
 PARTS, RUNS = 4, 4
-#: Fewest words of a line that goes down the tree.
-GENERAL_WORDS = 8
 #: Least share of a leaf's words that are not variable.
 CONSTANT = 0.75
 VARIABLE = "<*>"
@@ -67,7 +65,7 @@ def parsed(docs: DataFrame) -> DataFrame:
         return F.array(*[F.hash(F.slice(x["w"], a + 1, b - a)) for a, b in zip(edges, edges[1:], strict=False)])
 
     def tree(x: Column) -> Column:
-        down = x["some"] & (x["n"] >= GENERAL_WORDS)
+        down = x["some"] & (x["n"] > LEADING + 1)  # with one more word only, lines that share it are the same line
         return F.struct(F.when(x["m"] & x["some"], key("masked", x["w"])).alias("t"), F.when(down, F.xxhash64(x["n"], F.slice(x["w"], 1, LEADING))).alias("leaf"), x["n"].alias("n"), F.when(down, runs(x)).alias("runs"))
 
     out = each.select("d", "tie", F.xxhash64("text").alias("line"), key("line", F.col("text")).alias("exact"), F.element_at(F.transform(counted, tree), 1).alias("x"))
@@ -77,14 +75,15 @@ def parsed(docs: DataFrame) -> DataFrame:
 def leaves(lists: DataFrame) -> DataFrame:
     """(leaf, runs, first) from (leaf, n, runs, first, last), distinct lists of runs with their least and greatest document: the lists of recurring leaf templates, with the template's least document."""
     parts = F.array(*[F.xxhash64("leaf", F.lit(j), F.slice("runs", j * RUNS + 1, RUNS)) for j in range(PARTS)])
-    nodes = lists.select("leaf", "n", "runs", "first", "last", F.posexplode(parts).alias("j", "node"))
+    edges = F.array(*_edges(F.col("n")))
+    # Short lines have parts without words, which say nothing.
+    nodes = lists.select("leaf", "n", "runs", "first", "last", F.posexplode(parts).alias("j", "node")).filter(F.get(edges, (F.col("j") + 1) * RUNS) > F.get(edges, F.col("j") * RUNS))
     shared = nodes.groupBy("node").agg(F.count("*").alias("c"), F.min("first").alias("f"), F.max("last").alias("l")).filter("c > 1 and f < l").select(F.col("node").alias("s_node"), "c")
     best = nodes.join(shared, F.col("node") == F.col("s_node")).groupBy("leaf", "n", "runs").agg(F.max_by("node", F.struct("c", -F.col("j"))).alias("node"), F.first("first").alias("first"), F.first("last").alias("last"))
     anchored = materialize(best, "anchored")
     members = anchored.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("node").alias("m_node"), "m")
     counts = anchored.select("node", "n", F.posexplode("runs").alias("p", "h")).groupBy("node", "n", "p", "h").agg(F.count("*").alias("c"))
     common = counts.join(members, F.col("node") == F.col("m_node")).filter("2 * c > m")
-    edges = F.array(*_edges(F.col("n")))
     held = F.sum(F.get(edges, F.col("p") + 1) - F.get(edges, F.col("p")))
     # A template has at most one word of each run: PARTS x RUNS entries.
     templates = common.groupBy("node", "n").agg(F.collect_list(F.struct("p", "h")).alias("template"), held.alias("held")).filter(F.col("held") + LEADING >= CONSTANT * F.col("n"))
@@ -158,11 +157,11 @@ WITH lines AS (
 ), recurring AS (
   SELECT kind, key, min(d) AS first FROM plain GROUP BY ALL HAVING min(d) < max(d)
 ), lists AS (
-  SELECT w, n, min(d) AS first, max(d) AS last FROM sized WHERE n >= 8 AND 2 * len(list_filter(w, lambda x: x <> '<*>')) >= n GROUP BY w, n
+  SELECT w, n, min(d) AS first, max(d) AS last FROM sized WHERE n >= 4 AND 2 * len(list_filter(w, lambda x: x <> '<*>')) >= n GROUP BY w, n
 ), parts AS (
   SELECT w, n, first, last, j, w[1:2] AS lead, w[2 + (n - 2) * j // 4 + 1:2 + (n - 2) * (j + 1) // 4] AS part,
          [w[2 + (n - 2) * (4 * j + i) // 16 + 1:2 + (n - 2) * (4 * j + i + 1) // 16] for i in range(4)] AS split
-  FROM (SELECT *, unnest([0, 1, 2, 3]) AS j FROM lists)
+  FROM (SELECT *, unnest([0, 1, 2, 3]) AS j FROM lists) WHERE (n - 2) * (j + 1) // 4 > (n - 2) * j // 4
 ), shared AS (
   SELECT n, lead, j, split, count(*) AS c FROM parts GROUP BY ALL HAVING count(*) > 1 AND min(first) < max(last)
 ), anchored AS (

@@ -28,12 +28,13 @@ def leaf_firsts(lists):
     """{words: least document} of the lists of recurring leaf templates; ``lists`` has the documents of each list."""
     nodes, anchored, out = defaultdict(set), defaultdict(set), {}
     of = lambda w, j: (len(w), w[:2], j, tuple(runs(w)[4 * j : 4 * j + 4]))
-    deep = [w for w in lists if len(w) >= 8 and 2 * sum(x != "<*>" for x in w) >= len(w)]
+    deep = [w for w in lists if len(w) >= 4 and 2 * sum(x != "<*>" for x in w) >= len(w)]
+    parts = lambda w: [j for j in range(4) if any(runs(w)[4 * j : 4 * j + 4])]
     for w in deep:
-        for j in range(4):
+        for j in parts(w):
             nodes[of(w, j)].add(w)
     for w in deep:
-        good = [(len(nodes[of(w, j)]), -j) for j in range(4) if len(nodes[of(w, j)]) > 1 and len(set().union(*(lists[x] for x in nodes[of(w, j)]))) > 1]
+        good = [(len(nodes[of(w, j)]), -j) for j in parts(w) if len(nodes[of(w, j)]) > 1 and len(set().union(*(lists[x] for x in nodes[of(w, j)]))) > 1]
         if good:
             anchored[of(w, -max(good)[1])].add(w)
     for node, ws in anchored.items():
@@ -146,3 +147,12 @@ def test_sql_against_brute_force(spark):
     connection.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     got = connection.execute(op.ORACLE).fetchall()
     assert sorted(r[:3] for r in got) == sorted((d, n, k) for d, _, n, k in brute(rows))
+
+
+def test_short_lines_generalise_by_the_same_rule(spark):
+    """Bylines of five words, menu lines of four; two leading words and one of two others are three quarters, one of three is not."""
+    names = "Ada Ben Cleo Dan Eve Finn Gus Hal".split()
+    data = [(i, f"Posted by {n} in News\nGo to {n} page\nMade for {n} near {n}") for i, n in enumerate(names)]
+    got = {r.doc_id: r.text for r in op.drop_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0] == data[0][1]
+    assert all(got[i] == f"Made for {n} near {n}" for i, n in enumerate(names) if i)
