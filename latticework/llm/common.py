@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,9 +52,26 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd", most_rows: int |
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for made in _scopes:
+        made.append(out)
     return out
 
 
+#: The tables that were written since each scope was opened.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that :func:`materialize` writes while it is open, so that what a finished piece of work leaves can be released as a whole."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not made]
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote, once all that reads them is itself written. What a returned frame still reads stays, under the checkpoint folder, for the cluster's own clean-up."""
     for df in frames:
