@@ -5,12 +5,17 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from .. import errors
 from ..functions.tokens import byte_symbols
+from ..workers import importable
 
 
 @dataclass(frozen=True)
@@ -121,23 +126,75 @@ def read_json(folder: str, name: str) -> Any:
         return None
 
 
-def load(folder: str, locations: tuple[EosLocation, ...] = COMMON_LOCATIONS) -> tuple[int, list[tuple[bytes, int]]]:
-    """The end-of-sequence id and (token, id) rows of a folder with ``tokenizer.json``. Added tokens are taken as they are written, the model's own are decoded."""
-    spec = read_json(folder, "tokenizer.json")
+def parse(read: Callable[[str], Any], model: str, locations: tuple[EosLocation, ...] = COMMON_LOCATIONS) -> tuple[int, list[tuple[bytes, int]]]:
+    """The end-of-sequence id and (token, id) rows of a model whose files ``read`` gives as JSON, or None. Added tokens are taken as they are written, the model's own are decoded."""
+    spec = read("tokenizer.json")
     if not isinstance(spec, dict) or not isinstance(spec.get("model"), dict):
-        raise errors.TokenizersError(f"no tokenizer.json in {folder}")
+        raise errors.TokenizersError(f"no tokenizer.json in {model}")
     spec["normalizer"] = without_prepend(spec.get("normalizer"))
     vocab = spec["model"].get("vocab") or {}
     base = dict(vocab) if isinstance(vocab, dict) else {row[0]: i for i, row in enumerate(vocab)}
     added = {t["content"]: t for t in spec.get("added_tokens") or []}
     id_of = lambda text: added[text]["id"] if text in added else base.get(text)
-    eos = next((i for x in locations if (i := x.find(lambda name: read_json(folder, name), id_of)) is not None), None)
+    eos = next((i for x in locations if (i := x.find(read, id_of)) is not None), None)
     if eos is None:
-        raise errors.UnsupportedTokenizer(model=folder, reason="EOS token id can't be located")
+        raise errors.UnsupportedTokenizer(model=model, reason="EOS token id can't be located")
     try:
         processor = TokenProcessor(spec)
     except errors.UnsupportedByTokenProcessor as e:
-        raise errors.UnsupportedTokenizer(model=folder, reason=str(e)) from e
+        raise errors.UnsupportedTokenizer(model=model, reason=str(e)) from e
     rows = [(t["content"].encode(), t["id"]) for t in added.values() if not t.get("special") and t["id"] != eos]
     rows += [(processor.process(token), i) for token, i in base.items() if i != eos and token not in added]
     return eos, rows
+
+
+def load(folder: str, locations: tuple[EosLocation, ...] = COMMON_LOCATIONS) -> tuple[int, list[tuple[bytes, int]]]:
+    """:func:`parse` for a local folder."""
+    return parse(lambda name: read_json(folder, name), folder, locations)
+
+
+#: Rows of a batch that a task hands on at a time.
+BATCH_ROWS = 1 << 14
+MODELS = "model string, eos_token_id long, token binary, token_id long, error string"
+
+
+def read_models(spark: SparkSession, *paths: str, locations: tuple[EosLocation, ...] = COMMON_LOCATIONS) -> DataFrame:
+    """(model, eos_token_id, token, token_id, error): the vocabularies of all folders at or below ``paths``, on any file system that Spark reads.
+
+    ``model`` is the folder's path. Files are read and decoded in the executors, a model in one task. A folder whose tokenizer can't be read gives one
+    row with its ``error`` and no token; folders that lack ``tokenizer.json`` give none.
+    """
+    importable(spark)
+    names = sorted({"tokenizer.json"} | {x.file for x in locations})
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(list(paths))
+    parts = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("model"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    # A group holds one file of each name.
+    models = parts.filter(F.col("name").isin(names)).groupBy("model").agg(F.collect_list(F.struct("name", "content")).alias("files"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = {x["name"]: x["content"] for x in row["files"]}
+
+                def read(name: str, found: dict = found) -> Any:
+                    try:
+                        return json.loads(found[name])
+                    except (KeyError, ValueError):
+                        return None
+
+                if "tokenizer.json" not in found:
+                    continue
+                eos, rows, error = None, [(None, None)], None
+                try:
+                    eos, rows = parse(read, row["model"], locations)
+                except errors.LatticeError as e:
+                    error = str(e)
+                except (AttributeError, KeyError, TypeError) as e:
+                    error = f"The files have another form than a tokenizer's: {e!r}"
+                for at in range(0, len(rows), BATCH_ROWS):
+                    some = rows[at : at + BATCH_ROWS]
+                    same = [pa.array([x] * len(some), kind) for x, kind in ((row["model"], pa.string()), (eos, pa.int64()), (error, pa.string()))]
+                    tokens, ids = pa.array([t for t, _ in some], pa.binary()), pa.array([i for _, i in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([same[0], same[1], tokens, ids, same[2]], ["model", "eos_token_id", "token", "token_id", "error"])
+
+    return models.mapInArrow(run, MODELS)

@@ -86,6 +86,35 @@ def test_a_folder(spark, tmp_path):
     assert len(vocabulary) == 5
 
 
+def test_many_models_in_one_frame(spark, tmp_path, monkeypatch):
+    """Each folder's rows are those of ``load``; what can't be read is named, and other files are left alone."""
+    monkeypatch.setattr(files, "BATCH_ROWS", 7)
+    level = {"type": "ByteLevel"}
+    whole = {}
+    for name, n in (("one", 3), ("deep/two", 40), ("three", 0)):
+        at = tmp_path / name
+        at.mkdir(parents=True)
+        vocab = {f"Ġw{i}": i + 1 for i in range(n)} | {"<end>": 0}
+        (at / "tokenizer.json").write_text(json.dumps({"decoder": level, "model": {"vocab": vocab}}))
+        (at / "generation_config.json").write_text(json.dumps({"eos_token_id": 0}))
+        (at / "vocab.json").write_text("not JSON")
+        whole[name] = files.load(str(at))
+    for name, text in (("no-end", json.dumps({"decoder": level, "model": {"vocab": {}}})), ("broken", "{"), ("odd", json.dumps({"decoder": level, "model": {"vocab": 5}}))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "tokenizer.json").write_text(text)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "generation_config.json").write_text("{}")
+    rows = files.read_models(spark, str(tmp_path)).collect()
+    short = lambda r: r.model.split(f"{tmp_path}/")[1]
+    for name, (eos, expected) in whole.items():
+        got = [r for r in rows if short(r) == name]
+        assert all(r.error is None and r.eos_token_id == eos for r in got)
+        assert sorted((bytes(r.token), r.token_id) for r in got) == sorted(expected)
+    bad = {short(r): r for r in rows if r.error is not None}
+    assert set(bad) == {"no-end", "broken", "odd"} and all(r.token is None and r.eos_token_id is None for r in bad.values())
+    assert "other" not in {short(r) for r in rows}
+
+
 @pytest.mark.parametrize(
     "configs, eos",
     [
