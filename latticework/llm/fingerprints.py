@@ -7,16 +7,19 @@ chunks after it are the same again. A fingerprint is the set of chunk digests wi
 of the fingerprint's length whose chunks the other one has too (containment).
 
 For comparison with the next document, texts are dealt into ranges of ``doc_id`` once, compressed. Each range also gets a
-copy of the first document of the range after it, so every neighbour is at hand and no second pass is needed.
+copy of the first document of the range after it, so every neighbour is at hand and no second pass is needed. A ``doc_id`` that many rows share, null
+above all, has several ranges, by the hash that orders its texts.
 
 Defined cases: null text is the empty text; two empty fingerprints are alike (1), an empty and a filled one are not (0); a
-single document is its own next; rows that share a ``doc_id`` are ordered by a hash of their text, null ``doc_id`` comes after all others; an
-empty table gives an empty result; further columns are ignored.
+single document is its own next; rows that share a ``doc_id`` are ordered by a hash of their text, null ``doc_id`` comes after all others; rows that repeat are
+each other's next; very long texts are read whole, one at a time; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, shuffle_partitions, slices, texts, texts_of
+from .common import documents, shuffle_partitions, slices, small_batches, texts, texts_of
 
 SHORTEST, NORMAL, LONGEST = 16, 64, 256
 #: Zero bits that end a chunk before and after the normal size.
@@ -93,28 +96,47 @@ def as_text(chunk_set: dict[int, int]) -> str:
     return ",".join([f"{d:016x}:{n}" for d, n in sorted(chunk_set.items())])
 
 
-def _tops(batches: Iterator[pa.RecordBatch], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The largest key of each range in each batch."""
+def _tie(text: bytes) -> int:
+    """What orders the texts of one ``doc_id``: 63 bits."""
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
+def bounds_of(cuts: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Upper bounds (key, -tie) of the ranges, ascending, and the keys that have several. A key that is k of the quantiles is cut k times."""
+    times = Counter(cuts)
+    out = [(key, -((1 << 63) * j // n)) for key, n in sorted(times.items()) for j in range(n - 1, -1, -1)]
+    return out, {key for key, n in times.items() if n > 1}
+
+
+def _tops(batches: Iterator[pa.RecordBatch], bounds: list[tuple[int, int]], hot: set[int]) -> Iterator[pa.RecordBatch]:
+    """The largest (key, -tie) of each range in each batch; ties are told for hot keys only, whose texts alone are read."""
     for batch in batches:
-        keys = np.sort(np.asarray(batch.column("key")))
-        upto = np.searchsorted(keys, cuts, side="right")
-        found = [(i, int(keys[b - 1])) for i, (a, b) in enumerate(zip([0, *upto], [*upto, len(keys)], strict=True)) if b > a]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64())], ["band", "key"])
+        best: dict[int, tuple[int, int]] = {}
+        for key, text in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), strict=True):
+            at = (key, -_tie(text) if key in hot else 0)
+            band = bisect_left(bounds, at)
+            best[band] = max(at, best.get(band, at))
+        columns = zip(*((band, *at) for band, at in best.items()), strict=True) if best else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["band", "key", "under"])
 
 
-def _part(batches: Iterator[pa.RecordBatch], tops: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _part(batches: Iterator[pa.RecordBatch], tops: list[tuple[int, int]], hot: set[int]) -> Iterator[pa.RecordBatch]:
     """(part, key, tie, doc_id, blob): the range each row falls in, and a copy for the range before if it is its range's first document."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n = len(tops)
     for batch in slices(batches, "text"):
         ids = batch.column("doc_id").to_pylist()
         out: list[tuple] = []
+        copied: set[tuple[int, int]] = set()
         for doc, text in zip(ids, texts_of(batch.column("text")), strict=True):
-            key = LEAST_ID if doc is None else doc
-            part = n - 1 - int(np.searchsorted(tops, key))  # descending: part 0 holds the largest
-            row = (key, xxhash.xxh3_64_intdigest(text) >> 1, doc, pack(text))
+            key, tie = LEAST_ID if doc is None else doc, _tie(text)
+            at = (key, -tie if key in hot else 0)
+            top = bisect_left(tops, at)
+            part = n - 1 - top  # descending: part 0 holds the largest
+            row = (key, tie, doc, pack(text))
             out.append((part, 0, *row))
-            if key == tops[n - 1 - part]:
+            if at == tops[top] and (key, tie) not in copied:  # one of the rows that repeat is enough
+                copied.add((key, tie))
                 out.append(((part - 1) % n, 1, *row))
         types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["part", "ghost", "key", "tie", "doc_id", "blob"])
@@ -180,19 +202,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: its fingerprint, that of its edited text, and how much of it the edited text and the next document hold."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("key"))
+    small_batches(spark)
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
     wanted = 3 * parts
-    cuts = keys.agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], 20 * wanted).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    # The largest key up to each cut: the first document of its range. Their number is set by the partitions, not by the data.
-    if cuts:
-        band = keys.mapInArrow(lambda b: _tops(b, np.array(cuts, np.int64)), "band int, key long")
-        tops = np.array(sorted(r["top"] for r in band.groupBy("band").agg(F.max("key").alias("top")).collect()), np.int64)
-    else:
-        tops = np.array([r["top"] for r in keys.agg(F.max("key").alias("top")).collect() if r["top"] is not None], np.int64)
-    if not len(tops):
+    found = docs.select(key.alias("key")).agg(F.percentile_approx("key", [i / wanted for i in range(1, wanted)], 20 * wanted).alias("cuts"))
+    bounds, hot = bounds_of(found.first()["cuts"] or [])
+    if not bounds:
         return spark.createDataFrame([], OUT)
-    dealt = texts(docs, id_col, text_col).mapInArrow(lambda b: _part(b, tops), "part int, ghost int, key long, tie long, doc_id long, blob binary")
+    # The largest row up to each bound: the first document of its range. Their number is set by the partitions, not by the data.
+    keys = docs.select(key.alias("key"), (F.when(key.isin(sorted(hot)), F.col(text_col)) if hot else F.lit(None).cast("string")).alias("text"))
+    band = keys.mapInArrow(lambda b: _tops(b, bounds, hot), "band int, key long, under long")
+    largest = band.groupBy("band").agg(F.max(F.struct("key", "under")).alias("top"))
+    tops = sorted((r["top"]["key"], r["top"]["under"]) for r in largest.collect())
+    dealt = texts(docs, id_col, text_col).mapInArrow(lambda b: _part(b, tops, hot), "part int, ghost int, key long, tie long, doc_id long, blob binary")
     order = [F.col("part"), F.col("ghost"), F.col("key").desc(), F.col("tie")]
     return dealt.repartition(parts, "part").sortWithinPartitions(*order).mapInArrow(_walk, OUT)
 

@@ -12,7 +12,8 @@ The plan gives each length a range of ranks per bin class. Pieces get their rank
 chunk, then positions within a chunk), so a length that a third of all pieces share is still dealt over many tasks.
 
 Defined cases: null text is the empty text, whose only token is the end id; a text over the capacity is cut into full pieces after a first
-that may be shorter; rows that repeat are packed each; null ``doc_id`` rows are packed too; an empty table gives an empty result.
+that may be shorter, and is one task's work until it is cut; rows that repeat are packed each; null ``doc_id`` rows are packed too, dealt over tasks by their ids' checksum;
+of pieces that tie in every column any may come first; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,10 +143,10 @@ def assign(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     planned = plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)]
     placed = spark.createDataFrame(planned, "p_length long, rank_from long, rank_to long, bin_from long, per_bin long, in_bin long")
     chunks = max(1, sum(counts.values()) // CHUNK)
-    dealt = found.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+    dealt = found.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(chunks)))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "chunk").count().select("length", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("place", F.row_number().over(within) - 1).join(bases, ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("place"))
     # The plan's size is bounded by the capacity alone: a bin class per split of a length, a row per length in it.
     at = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))

@@ -1,7 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +70,23 @@ def test_whole_operator(spark):
     assert op.fingerprints(cases.table(spark).limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_dealt_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 3 else i, cases.sentence(rng, 9)) for i in range(300)]
+    rows += [(50, "one text of a common id")] * 40 + [(50, cases.sentence(rng, 5)) for _ in range(60)] + [(None, None)] * 30
+    check(spark, rows)
+    bounds, hot = op.bounds_of([op.LEAST_ID] * 4 + [7, 9, 9])
+    assert hot == {op.LEAST_ID, 9} and bounds == sorted(bounds) and len(bounds) == 7 and bounds[3] == (op.LEAST_ID, 0) and bounds[4] == (7, 0)
+    # Each range has a share of the texts without an id, and only rows that open one are copied.
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * 400, pa.int64()), "text": pa.array([str(i) for i in range(400)])})
+    keyed = pa.RecordBatch.from_pydict({"key": pa.array([op.LEAST_ID] * 400, pa.int64()), "text": batch.column("text")})
+    (found,) = op._tops([keyed], bounds, hot)
+    tops = sorted(zip(found["key"].to_pylist(), found["under"].to_pylist(), strict=True))
+    (dealt,) = op._part([batch], tops, hot)
+    own = Counter(p for p, g in zip(dealt["part"].to_pylist(), dealt["ghost"].to_pylist(), strict=True) if not g)
+    assert len(tops) == len(own) == 4 and min(own.values()) > 60 and dealt.num_rows == 404
+
+
 def test_likeness(spark):
     rng = random.Random(2)
     docs = [(i, cases.sentence(rng, 400)) for i in range(40)]

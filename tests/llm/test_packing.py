@@ -69,6 +69,16 @@ def test_whole_operator(spark):
     assert len(bins) <= 1.05 * sum(r.length for r in got) / capacity + 1
 
 
+def test_pieces_without_an_id_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 20)
+    found = spark.range(400).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "5L as length", "id * 7919 as ids_crc32")
+    got = op.assign(found, 64)
+    places = {(r.sequence_id, r.offset) for r in got.collect()}
+    assert len(places) == 400 and len({s for s, _ in places}) == -(-400 // 12)
+    chunks = found.selectExpr("pmod(xxhash64(doc_id, piece, start, ids_crc32), 20) as c").groupBy("c").count().collect()
+    assert len(chunks) == 20 and max(r["count"] for r in chunks) < 60
+
+
 def test_empty(spark):
     assert op.pack(cases.table(spark).limit(0)).count() == 0
 
