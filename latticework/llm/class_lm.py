@@ -3,7 +3,8 @@
 Counting. The corpus is read once into blocks of some million tokens. A block numbers its own distinct words, by 64-bit digest, and keeps its
 documents as those numbers. What is summed over blocks travels as one packed entry for each distinct word and block, dealt into shards by ranges of the
 digest. The number of shards follows the number of entries, and a block has a row only for the shards that its words fall into, so rows and
-bytes grow with the entries and no shard grows with the corpus.
+bytes grow with the entries. The end and other common words stand in every block, though, so the shards that hold them get one packed row of each
+block, whatever the number of shards.
 
 Classes. Exchange clustering runs in two steps. The ``CORE`` most frequent words and ``ENDINGS`` groups of all other words, by their last letters, are
 units; the end of a text is one of its own. On the driver the units are exchanged between classes, each to where the likelihood of the class bigrams is
