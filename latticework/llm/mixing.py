@@ -17,6 +17,9 @@ whether they swap. They work for every n, need no table, and the same rounds bac
 Running sums are taken in levels (sums per chunk, then within a chunk), so that one source may hold any share of the
 rows and no window grows with the table. Only the table of sources, one row each, goes through a single window.
 
+The tables of running sums, of sources and of slots are written before what joins them. The driver makes and reports a plan anew after each of its
+shuffles; one plan for all took most of its memory, by the square of its shuffles.
+
 Defined cases: null or wordless text has size 0 and takes 0; very long texts span many blocks and are cut once per row of the mix; a null source is a source of its own, last in order; rows that repeat are
 documents of their own, next to each other; ties of doc_id and size are ordered by a hash of the text, and what ties there too is the same row; null ``doc_id`` rows take part and are dealt
 by their texts; an empty table gives an empty result; further columns are kept by :func:`mix` and ignored by :func:`taken`.
@@ -156,7 +159,7 @@ def pieces(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(chunks).cast("long")))
     sums = materialize(dealt.groupBy("s", "chunk").agg(F.sum("size").alias("words")), "chunks", most_rows=n)
     sources = materialize(targets(sums.groupBy("s").agg(F.sum("words").alias("source_size")), weights, share), "targets", most_rows=n)
-    bases = running(sums, "chunk", "words", "base").drop("words").join(sources, "s")
+    bases = materialize(running(sums, "chunk", "words", "base").drop("words").join(sources, "s"), "bases", most_rows=n)
     within = Window.partitionBy("s", "chunk").orderBy("doc_id", "size", "tie", "uid").rowsBetween(Window.unboundedPreceding, -1)
     laid = dealt.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["s", "chunk"]).withColumn("start", F.col("base") + F.col("inside"))
     borders = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
@@ -164,7 +167,8 @@ def pieces(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block).cast("long"))
     cut = cut.withColumn("low", low).withColumn("high", high).withColumn("skip", F.col("block") * block + F.col("low") - F.col("start"))
-    return cut.drop("start"), slots(plan(sources, block), block)
+    planned = materialize(plan(sources, block), "planned", most_rows=n)
+    return cut.drop("start"), materialize(slots(planned, block), "slots")
 
 
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK_WORDS) -> DataFrame:

@@ -183,6 +183,12 @@ def test_mix_holds_the_words_taken(spark):
     assert whole > 50
 
 
+def test_no_plan_joins_all_tables_of_the_mix(spark):
+    """The driver reports a plan anew after each shuffle, so its memory goes by the square of these."""
+    for made in (op.mix(cases.table(spark)), op.taken(cases.table(spark))):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 10
+
+
 def test_empty(spark):
     assert op.taken(cases.table(spark).limit(0)).count() == 0
     assert op.mix(cases.table(spark).limit(0)).count() == 0
