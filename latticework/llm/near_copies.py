@@ -1,10 +1,13 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of ``LEAST`` or more.
 
-Candidates come from MinHash. A text's ``BANDS`` x ``ROWS`` least hashes are cut into bands; texts that agree in a whole band share a key. A pair at
-0.8 misses all bands with odds of (1 - 0.8^5)^40, some 1e-7. SimHash can't bring in such pairs: at 0.8 they differ in ten of
-64 bits on average and often in sixteen, for which no choice of blocks leaves a selective key. Every candidate's similarity is then counted on the sets themselves.
+First come the links of op9's method: SimHash fingerprints over the same shingles, joined on pigeonhole blocks, and components of those within ``MOST_BITS`` bits
+(:mod:`simhash`). Each text of such a component is held against its least one, and those that are near copies by their sets are linked.
 
-Groups that share a key are not paired off in full at once: each links its members to its least member first, then, while
+At 0.8 most pairs lie beyond that bound: they differ in ten of 64 bits on average and often in sixteen, for which no choice of blocks leaves a selective key. What SimHash
+didn't link gets further candidates from MinHash. A text's ``BANDS`` x ``ROWS`` least hashes are cut into bands; texts that agree in a whole band share a key. A pair at
+0.8 misses all bands with odds of (1 - 0.8^5)^40, some 1e-7. Every candidate's similarity is counted on the sets themselves, whichever way it came.
+
+Groups that share a key are not paired off in full at once: each links its members to its least member first, but for those in that one's component already, then, while
 it holds several components, what lies outside the commonest to that component's and its own least members; only pairs that are still in
 different components then are held against each other. Sizes alone rule out most others: at 0.8 the smaller set has at least 0.8 of the greater.
 Groups with more than ``SPLIT`` members outside the commonest component, such as letters that share a form, are not held against each other at all: their members are
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, release, slices, small_batches, texts_of
 from .components import components
 
@@ -158,13 +162,33 @@ def _sharing(keyed: DataFrame, least: float) -> DataFrame:
     return smaller.join(greater.hint("merge"), fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def alike(rows: DataFrame, bits: int = simhash.MOST_BITS) -> DataFrame:
+    """The pairs (a, b) of each text (node, fp) and the least text of its SimHash component."""
+    prints = materialize(rows.select("node", "fp").distinct(), "prints")
+    roots = simhash.labels(prints.select("fp").distinct(), bits).select(F.col("node").alias("r_fp"), "root")
+    of = materialize(prints.join(roots, F.col("fp") == F.col("r_fp"), "left").select("node", F.coalesce("root", "fp").alias("root")), "alike")
+    hubs = of.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select(F.col("root").alias("h_root"), "a")
+    pairs = materialize(of.join(hubs, F.col("root") == F.col("h_root")).filter("node <> a").select("a", F.col("node").alias("b")), "alike-pairs")
+    release(prints, of)
+    return pairs
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that aren't in one component of ``links``."""
+    roots = components(links)
+    left, right = (roots.select(F.col("node").alias(f"n_{x}"), F.col("root").alias(f"r_{x}")) for x in "ab")
+    both = pairs.distinct().join(left, F.col("a") == F.col("n_a"), "left").join(right, F.col("b") == F.col("n_b"), "left")
+    return both.filter(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
+
+
 def labels(rows: DataFrame, docs: DataFrame, least: float = LEAST, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(node, root): the component of each text that isn't its component's least. ``rows`` has (node, size, keys), ``docs`` the texts."""
+    """(node, root): the component of each text that isn't its component's least. ``rows`` has (node, size, fp, keys), ``docs`` the texts."""
+    close = alike(rows)
     distinct = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = distinct.select("node", "size", F.posexplode("keys").alias("t", "k"))
     shared = keyed.groupBy("t", "k").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(keyed.join(shared, ["t", "k"]).select("t", "k", "node", "size", "hub"), "bands")
-    wanted = members.select(F.col("node").alias("w_node")).distinct()
+    wanted = members.select(F.col("node").alias("w_node")).unionByName(close.select(F.explode(F.array("a", "b")).alias("w_node"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -173,7 +197,10 @@ def labels(rows: DataFrame, docs: DataFrame, least: float = LEAST, words: int =
 
     texts = docs.select(_node().alias("node"), "text").join(wanted, F.col("node") == F.col("w_node"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = materialize(texts.mapInArrow(run, "node long, found binary, bits array<long>"), "shingles")
-    links = materialize(_similar(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, least), "near-links")
+    first = materialize(_similar(close, sets, least), "simhash-links")
+    to_hubs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = materialize(_similar(_apart(to_hubs, first), sets, least).unionByName(first), "near-links")
+    release(close, first)
     order = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     def held() -> tuple[DataFrame, DataFrame]:
@@ -220,9 +247,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [shingles(t, words) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array(map(bands, found), pa.list_(pa.int64()))], ["doc_id", "node", "size", "keys"])
+            prints = np.array([simhash.fingerprint(t, words) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array(prints, pa.int64()), pa.array(map(bands, found), pa.list_(pa.int64()))], ["doc_id", "node", "size", "fp", "keys"])
 
-    rows = materialize(plain.select("doc_id", _node().alias("node"), "text").mapInArrow(run, "doc_id long, node long, size long, keys array<long>"), "minhash")
+    rows = materialize(plain.select("doc_id", _node().alias("node"), "text").mapInArrow(run, "doc_id long, node long, size long, fp long, keys array<long>"), "minhash")
     roots = labels(rows, plain, least, words)
     ids = rows.select("doc_id", "node").distinct()
     named = ids.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -67,6 +67,33 @@ def test_pairs_at_the_limit_are_found(spark):
     assert 120 <= len(got) < 260
 
 
+def test_simhash_links_near_copies_by_itself(spark, monkeypatch):
+    """Without a band that two texts share, components of fingerprints are left, and the sets are held against each other all the same."""
+    rng = random.Random(13)
+    rows, short = [], cases.sentence(rng, 6)
+    for i in range(20):
+        base = cases.sentence(rng, 800)
+        rows += [(3 * i, base), (3 * i + 1, base + " more"), (3 * i + 2, "less " + base)]
+    rows += [(100, short), (101, short + " " + short)]
+    monkeypatch.setattr(op, "bands", lambda found: [int(found[0]) * 1000 + len(found)] * op.BANDS if len(found) < 100 else [hash((i, found.tobytes())) for i in range(op.BANDS)])
+    got = check(spark, rows)
+    assert len(got) == 22
+
+
+def test_what_simhash_links_is_not_held_against_each_other_again(spark, monkeypatch):
+    rng = random.Random(14)
+    base = cases.sentence(rng, 800)
+    held, plain = [], op._similar
+
+    def counting(pairs, sets, least):
+        held.append(pairs.distinct().count())
+        return plain(pairs, sets, least)
+
+    monkeypatch.setattr(op, "_similar", counting)
+    assert len(check(spark, [(i, base + f" end{i}") for i in range(30)])) == 1
+    assert held[0] == 29 and not any(held[1:])
+
+
 def test_chains_of_copies(spark):
     rng = random.Random(6)
     rows, text = [], cases.sentence(rng, 150)
